@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from certamap.llm import mix, shard, simhash
+from certamap.llm import mix, pii, quality, shard, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_personal_data": pii.query,
+        "op8_quality_rules": quality.query,
         "op7_simhash_neardup": simhash.query,
         "op9_source_mixing": mix.query,
         "op10_kdtree_sharding": shard.query,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
+    return {k: v for k, v in {"op8_quality_rules": quality.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
