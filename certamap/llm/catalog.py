@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from certamap.llm import mix, pii, quality, secrets, shard, simhash
+from certamap.llm import bpe, mix, pii, quality, secrets, shard, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_personal_data": pii.query,
         "op8_quality_rules": quality.query,
+        "op3_byte_bpe": bpe.query,
         "op4_secret_scan": secrets.query,
         "op7_simhash_neardup": simhash.query,
         "op9_source_mixing": mix.query,

@@ -1,17 +1,25 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, source mix, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, source mix, tokens.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certamap.llm import mix, simhash
+from certamap.llm import bpe, mix, quality, secrets, simhash
 from certamap.llm.common import cut, table
 
 STAGES = [
+    ("quality_rules", quality.stage),
     ("near_duplicates", simhash.stage),
+    ("secret_scan", secrets.stage),
     ("source_mix", mix.stage),
+    ("byte_bpe", bpe.stage),
 ]
 
+#: None: fingerprints, the network's spans and the merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
