@@ -204,9 +204,8 @@ class Coder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-@functools.cache
 def _coder(compressed: bytes) -> Coder:
-    """One coder a Python worker; the ranks come with the task, so no file has to be on the executors."""
+    """A task's coder; the ranks come with the task, so no file has to be on the executors."""
     return Coder(pickle.loads(zlib.decompress(compressed)))
 
 

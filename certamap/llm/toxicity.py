@@ -113,8 +113,8 @@ class Model:
             hit = (stem, 0)
         return hit
 
-    def matches(self, text: str) -> tuple[int, list[tuple[int, int, str, int, bool]]]:
-        """The number of words, and (start, end, entry, errors, quoted) of every match. Offsets are code points of the lower-cased text."""
+    def matches(self, text: str) -> tuple[int, list[tuple[str, str, int, bool]]]:
+        """The number of words, and (word, entry, errors, quoted) of every match, in the order of the text."""
         low = text.lower()
         words = WORDS.findall(low)
         if len(self.known) > KNOWN:
@@ -130,15 +130,15 @@ class Model:
                 before, after = low[max(0, m.start() - 2) : m.start()], low[m.end() : m.end() + 2]
                 quoted = any(c in QUOTES for c in before) and any(c in QUOTES for c in after)
                 quoted = quoted or any(spans[j][0] in REPORTING for j in range(max(0, i - WINDOW), i))
-                out.append((m.start(), m.end(), *hit, quoted))
+                out.append((m[0], *hit, quoted))
         return len(words), out
 
-    def features(self, n: int, found: list[tuple[int, int, str, int, bool]]) -> list[float]:
-        word = sum((TYPO if e else 1.0) * (QUOTED if q else 1.0) for _, _, x, e, q in found if not x.endswith("*"))
-        stem = sum(QUOTED if q else 1.0 for _, _, x, _, q in found if x.endswith("*"))
-        return [min(word, 1.0), math.log1p(word), math.log1p(stem), min(10.0, 100 * stem / max(n, 20))]
+    def features(self, n: int, found: list[tuple[str, str, int, bool]]) -> list[float]:
+        word = sum((TYPO if e else 1.0) * (QUOTED if q else 1.0) for _, x, e, q in found if not x.endswith("*"))
+        stem = sum({w: QUOTED if q else 1.0 for w, x, _, q in found if x.endswith("*")}.values())  # a word counts once
+        return [min(word, 1.0), math.log1p(word), math.log1p(stem), min(10.0, 100 * stem / max(n, 50))]
 
-    def score(self, n: int, found: list[tuple[int, int, str, int, bool]]) -> float:
+    def score(self, n: int, found: list[tuple[str, str, int, bool]]) -> float:
         z = sum(w * x for w, x in zip(self.weights, [*self.features(n, found), 1.0], strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -155,13 +155,11 @@ def _g(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
     return out
 
 
-def _terms(text: str) -> set[str]:
-    out: set[str] = set()
-    for w in set(WORDS.findall(text.lower())):
-        if LEAST_STEM <= len(w) <= 40:
-            out.add(w)
-            out.update(w[:k] + "*" for k in range(LEAST_STEM, min(len(w), 12) + 1))
-    return out
+def _terms(text: str) -> Iterable[str]:
+    """The words of a text, and the stems that two or more of its words share."""
+    words = {w for w in WORDS.findall(text.lower()) if LEAST_STEM <= len(w) <= 40}
+    stems = Counter(w[:k] + "*" for w in words for k in range(LEAST_STEM, min(len(w), 12) + 1))
+    return [*words, *(s for s, n in stems.items() if n > 1)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
@@ -230,13 +228,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, matches): score in [0, 1]; matches are (start, end, entry, errors, quoted).
+    """(id, score, matches): score in [0, 1]; matches are (word, entry, errors, quoted).
 
     Nulls: a null text counts as empty, a null id is carried. Repeated rows score alike; an empty table gives an empty result; other columns are ignored.
     """
-    match = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entry", T.StringType()), T.StructField("errors", T.IntegerType()), T.StructField("quoted", T.BooleanType())])
+    match = T.StructType([T.StructField("word", T.StringType()), T.StructField("entry", T.StringType()), T.StructField("errors", T.IntegerType()), T.StructField("quoted", T.BooleanType())])
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("matches", T.ArrayType(match))])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entry", pa.string()), ("errors", pa.int32()), ("quoted", pa.bool_())]))
+    kind = pa.list_(pa.struct([("word", pa.string()), ("entry", pa.string()), ("errors", pa.int32()), ("quoted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
