@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from certamap.llm import bpe, mix, pii, quality, secrets, shard, simhash
+from certamap.llm import bpe, html_text, mix, pii, quality, secrets, shard, simhash, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_personal_data": pii.query,
-        "op8_quality_rules": quality.query,
+        "op2_html_main_text": html_text.query,
         "op3_byte_bpe": bpe.query,
         "op4_secret_scan": secrets.query,
+        "op5_vector_neardup": vectors.query,
+        "op6_toxicity": toxicity.query,
         "op7_simhash_neardup": simhash.query,
+        "op8_quality_rules": quality.query,
         "op9_source_mixing": mix.query,
         "op10_kdtree_sharding": shard.query,
         "pipeline": corpus_pipeline.run,
