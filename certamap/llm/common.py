@@ -3,45 +3,26 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Java regex class of the characters that are not white space, for words.
-WORD = r"[^\x20\x09-\x0D]+"
+from certamap.operators.lineage import cut
+
 #: Rows that a block of `blocked_prefix` aims at, and the most blocks a group is cut into.
 BLOCK_ROWS, MOST_BLOCKS = 1024, 20_000
 
-_own_root: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = tempfile.mkdtemp(prefix="certamap-")
-    return _own_root[app]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/certamap-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def utf8(text: Column) -> Column:
-    return F.encode(text, "UTF-8")
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores after it as make it a column that `df` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def blocks_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:

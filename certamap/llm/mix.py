@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certamap.llm.common import blocked_prefix, cut, table
+from certamap.llm.common import blocked_prefix, cut, fresh, table
 
 WEIGHTS, BUDGET, MOST_EPOCHS, SHARDS, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 8, 1024, 17
 
@@ -166,7 +166,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.greatest(F.lit(0), F.least(lo + F.col("size"), F.round("target")) - lo)
 
     times = sum(F.when(2 * words(F.lit(e)) >= F.col("size"), 1).otherwise(0) for e in range(MOST_EPOCHS))
-    counted = mixed.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.when(F.col("size") == 0, 1).otherwise(times).alias("_n"))
-    copies = cut(counted.groupBy("_id", "_source").agg(F.max("_n").alias("_times")))
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times")))).where("_copy > 0").select(*docs.columns)
+    key, source, n, copy = (fresh(docs, c) for c in ("_id", "_source", "_times", "_copy"))
+    counted = mixed.select(F.col("id").alias(key), F.col("source").alias(source), F.when(F.col("size") == 0, 1).otherwise(times).alias(n))
+    copies = cut(counted.groupBy(key, source).agg(F.max(n).alias(n)))
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n)))).where(F.col(copy) > 0).select(*docs.columns)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certamap.llm.common import cut, table
-from certamap.llm.components import components
+from certamap.llm.common import cut, fresh, table
+from certamap.operators.components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints of one posting list that one task compares with each other; longer lists are compared block by block.
@@ -163,6 +163,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id; of rows that repeat id and text, one."""
-    named = cut(near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias("_id")).distinct())
-    kept = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    key, text = fresh(docs, "_id"), fresh(docs, "_text")
+    named = cut(near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias(key)).distinct())
+    kept = docs.join(named, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
