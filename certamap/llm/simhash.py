@@ -71,10 +71,10 @@ def steiner_blocks() -> list[tuple[int, ...]]:
 
 def forest(fps: np.ndarray, least_shared: int, most_bits: int) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the links among `fps`, found breadth first with one comparison of each pair at most."""
-    left = fps
+    left = fps.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
     while len(left) > 1:
         root, left = left[0], left[1:]
-        front = np.array([root], fps.dtype)
+        front = np.array([root], np.uint64)
         while len(front) and len(left):
             hit = np.zeros(len(left), bool)
             for at in range(0, len(front), 256):
@@ -84,8 +84,8 @@ def forest(fps: np.ndarray, least_shared: int, most_bits: int) -> Iterator[tuple
                 near &= np.bitwise_count(apart) <= most_bits
                 hit |= near.any(axis=0)
             front, left = left[hit], left[~hit]
-            for x in front.tolist():
-                yield int(root), x
+            for x in front.view(np.int64).tolist():
+                yield int(root.astype(np.int64)), x
 
 
 def _postings(fps: DataFrame, list_block: int) -> DataFrame:
