@@ -117,8 +117,8 @@ def _fold(word: Column, single: Column, look_up: Callable[[Column, Column], Colu
 
 def encode_native(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) by higher-order functions alone: the distinct words of the table are folded, and joined back to their places."""
-    places = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.posexplode_outer(pieces(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "w"))
-    places = cut(places)
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))
+    places = cut(rows.select("row", "id", F.posexplode_outer(pieces(F.col("t"))).alias("at", "w")))
     ranks = load_ranks(path)
     words = places.where("w is not null").select("w").distinct()
     known = docs.sparkSession.createDataFrame([(b, i) for b, i in ranks.items()], "b binary, token int")  # bounded: the vocabulary

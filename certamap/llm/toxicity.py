@@ -66,7 +66,7 @@ class Trie:
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The nearest whole-word entry and its distance, within the errors the entry's length allows."""
-        most = errors_allowed(len(word) + 1)
+        most = errors_allowed(len(word) + 2)
         best: tuple[int, str] | None = None
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:  # each row is a state of the word's automaton; the trie spells what it reads
