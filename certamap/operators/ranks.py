@@ -38,8 +38,9 @@ def kruskal_wallis(df: DataFrame, value: str, segment: str) -> DataFrame:
     """One row: h, p_value, significant, n_groups. Fewer than two groups give nulls and false."""
     spark = df.sparkSession
     used = df.where(F.col(value).isNotNull() & F.col(segment).isNotNull()).select(value, segment)
-    ranks = cut(value_ranks(used, value))
-    groups = used.join(ranks, F.col(value) == F.col("v")).groupBy(segment).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
+    used = used.select(F.col(value).alias("_x"), F.col(segment).alias("_k"))
+    ranks = cut(value_ranks(used, "_x"))
+    groups = used.join(ranks, F.col("_x") == F.col("v")).groupBy("_k").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     total, k, s = groups.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.col("r") * F.col("r") / F.col("n"))).first()
     schema = "h double, p_value double, significant boolean, n_groups long"
     if k < 2:
@@ -54,8 +55,9 @@ def mann_whitney(df: DataFrame, value: str, segment: str, a, b) -> DataFrame:
     """One row: u, p_value, effect_size_r, n_a, n_b, mean_a, mean_b; two-sided, tie- and continuity-corrected. Fewer than two values on a side give null statistics."""
     spark = df.sparkSession
     used = df.where(F.col(value).isNotNull() & F.col(segment).isin(a, b)).select(value, segment)
-    ranks = cut(value_ranks(used, value))
-    got = {r[0]: r for r in used.join(ranks, F.col(value) == F.col("v")).groupBy(segment).agg(F.sum("rank"), F.count(F.lit(1)), F.avg(value)).collect()}
+    used = used.select(F.col(value).alias("_x"), F.col(segment).alias("_k"))
+    ranks = cut(value_ranks(used, "_x"))
+    got = {r[0]: r for r in used.join(ranks, F.col("_x") == F.col("v")).groupBy("_k").agg(F.sum("rank"), F.count(F.lit(1)), F.avg("_x")).collect()}
     ra, na, ma = (got[a][1], got[a][2], got[a][3]) if a in got else (0.0, 0, None)
     nb, mb = (got[b][2], got[b][3]) if b in got else (0, None)
     schema = "u double, p_value double, effect_size_r double, n_a long, n_b long, mean_a double, mean_b double"
