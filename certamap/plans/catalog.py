@@ -192,10 +192,10 @@ def error_summary(spark, sf_dir):
     return rounded(V.addresses(spark, sf_dir).agg(S.rmse(d).alias("rmse"), S.ce90(d).alias("ce90"), S.mae(d).alias("mae"), F.median(d).alias("median_error")))
 
 
-@query("SELECT c.n_name, round(m.completude, 6) AS completude, round(m.lci, 6) AS lci FROM cells c LEFT JOIN (SELECT n_name, avg(completude) AS completude, avg(lci) AS lci FROM pip WHERE n_name IS NOT NULL GROUP BY 1) m USING (n_name)")
+@query("SELECT c.n_name, round(m.completude, 9) AS completude, round(m.lci, 9) AS lci FROM cells c LEFT JOIN (SELECT n_name, avg(completude) AS completude, avg(lci) AS lci FROM pip WHERE n_name IS NOT NULL GROUP BY 1) m USING (n_name)")
 def area_means(spark, sf_dir):
     means = placed(spark, sf_dir).where("n_name is not null").groupBy(F.col("n_name").alias("area")).agg(F.avg("completude").alias("completude"), F.avg("lci").alias("lci"))
-    return rounded(V.cells(spark, sf_dir).join(means, F.col("n_name") == F.col("area"), "left").select("n_name", "completude", "lci"))
+    return rounded(V.cells(spark, sf_dir).join(means, F.col("n_name") == F.col("area"), "left").select("n_name", "completude", "lci"), 9)
 
 
 @query("SELECT n_name, round(avg(gci), 6) AS mean, round(median(gci), 6) AS median, round(stddev_samp(gci), 6) AS std, count(gci) AS n FROM pip WHERE n_name IS NOT NULL GROUP BY 1")
