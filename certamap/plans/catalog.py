@@ -398,9 +398,9 @@ def gi_star_z(spark, sf_dir):
     return rounded(A.getis_ord(units(spark, sf_dir), J.queen_edges(V.cells(spark, sf_dir)), "y", "id", star=True), 5)
 
 
-_LOW = """low AS (SELECT addr_id AS id, x, y FROM s WHERE gci < 0.3 AND addr_id % 4 = 0),
-near AS (SELECT a.id AS i, b.id AS j FROM low a JOIN low b ON b.x BETWEEN a.x - 900 AND a.x + 900 AND b.y BETWEEN a.y - 900 AND a.y + 900 AND a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 810000),
-core AS (SELECT i AS c FROM near GROUP BY 1 HAVING count(*) + 1 >= 18),
+_LOW = """low AS (SELECT addr_id AS id, x, y FROM s WHERE gci < 0.3),
+near AS (SELECT a.id AS i, b.id AS j FROM low a JOIN low b ON b.x BETWEEN a.x - 400 AND a.x + 400 AND b.y BETWEEN a.y - 400 AND a.y + 400 AND a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 160000),
+core AS (SELECT i AS c FROM near GROUP BY 1 HAVING count(*) + 1 >= 11),
 ce AS (SELECT i, j FROM near WHERE i IN (SELECT c FROM core) AND j IN (SELECT c FROM core)),
 reach(c, r) AS (SELECT c, c FROM core UNION SELECT ce.i, reach.r FROM reach JOIN ce ON ce.j = reach.c WHERE reach.r < ce.i),
 root AS (SELECT c, min(r) AS root FROM reach GROUP BY 1),
@@ -415,8 +415,8 @@ def dbscan_clusters(spark, sf_dir):
 
 @query("SELECT l.id, coalesce(r.root, b.b, -1) AS cluster, r.c IS NOT NULL AS core FROM low l LEFT JOIN root r ON l.id = r.c LEFT JOIN bord b ON b.i = l.id", more=_LOW)
 def dbscan_sparse(spark, sf_dir):
-    low = scored(spark, sf_dir).where("gci < 0.3 and addr_id % 4 = 0").select("addr_id", "x", "y")
-    return K.dbscan(low, 900.0, 18)
+    low = scored(spark, sf_dir).where("gci < 0.3").select("addr_id", "x", "y")
+    return K.dbscan(low, 400.0, 11)
 
 
 @query("SELECT CAST(floor(sqrt(d2) / 250.0) AS INT) AS lag_bin, count(*) AS n, round(avg((ga - gb) * (ga - gb)) / 2, 6) AS gamma FROM pr WHERE d2 < 25000000 GROUP BY 1", more="""
@@ -565,7 +565,7 @@ def knn_lisa(spark, sf_dir):
 @query(None)
 def gwr_local_r2(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("vertical", F.coalesce((F.col("cod_tipo_especi") == 103).cast("int"), F.lit(0)))
-    return R.gwr(s, "gci", ["nv_geo_coord", "vertical"], most=1000, neighbours=200)[0].select("id", "local_r2")
+    return R.gwr(s, "gci", ["nv_geo_coord", "vertical"], neighbours=200)[0].select("id", "local_r2")
 
 
 def _areas(spark, sf_dir):
