@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from certamap.operators.lineage import cut
 
 #: Rows that a block of `blocked_prefix` aims at, and the most blocks a group is cut into.
-BLOCK_ROWS, MOST_BLOCKS = 1024, 20_000
+BLOCK_ROWS, MOST_BLOCKS = 256, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

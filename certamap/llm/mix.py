@@ -169,5 +169,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, source, n, copy = (fresh(docs, c) for c in ("_id", "_source", "_times", "_copy"))
     counted = mixed.select(F.col("id").alias(key), F.col("source").alias(source), F.when(F.col("size") == 0, 1).otherwise(times).alias(n))
     copies = cut(counted.groupBy(key, source).agg(F.max(n).alias(n)))
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+    both = docs.join(copies.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
     return both.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n)))).where(F.col(copy) > 0).select(*docs.columns)

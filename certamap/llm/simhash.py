@@ -163,7 +163,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id; of rows that repeat id and text, one."""
-    key, text = fresh(docs, "_id"), fresh(docs, "_text")
-    named = cut(near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias(key)).distinct())
-    kept = docs.join(named, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
+    key, none, text = fresh(docs, "_id"), fresh(docs, "_none"), fresh(docs, "_text")
+    at = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias(key), F.col(c).isNull().alias(none))
+    named = cut(near_duplicates(docs).where("id <=> component_id").select(*at("id")).distinct())
+    # the kept ids have no bound, so they are never broadcast; one exchange of the texts serves the join and the repeated rows
+    kept = docs.select("*", *at("doc_id")).join(named.hint("shuffle_merge"), [key, none], "left_semi")
+    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates([key, none, text]).select(*docs.columns)
