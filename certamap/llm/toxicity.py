@@ -54,6 +54,14 @@ class Trie:
             for c in e.rstrip("*"):
                 node = node.setdefault(c, {})
             node["*" if e.endswith("*") else "$"] = e
+        self.steps = self._steps(self.root)
+
+    def _steps(self, node: dict) -> tuple[str | None, int, list[tuple[str, tuple]]]:
+        """(entry that ends here, most errors of the entries from here on, children), without the branches that have stems only."""
+        own = node.get("$")
+        children = [(c, self._steps(x)) for c, x in node.items() if c not in "*$"]
+        children = [(c, x) for c, x in children if x[1] >= 0]
+        return own, max([errors_allowed(len(own)) if own else -1, *(x[1] for _, x in children)]), children
 
     def stem(self, word: str) -> str | None:
         node = self.root
@@ -65,25 +73,30 @@ class Trie:
         return node.get("*")
 
     def near(self, word: str) -> tuple[str, int] | None:
-        """The nearest whole-word entry and its distance, within the errors the entry's length allows."""
-        most = errors_allowed(len(word) + 2)
-        best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
-        while stack:  # each row is a state of the word's automaton; the trie spells what it reads
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "*":
-                    continue
-                if c == "$":
-                    if row[-1] <= errors_allowed(len(child)) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(new) <= most:
-                    stack.append((child, new))
-        return best and (best[1], best[0])
+        """The nearest whole-word entry and its distance, within the errors the entry's length allows.
+
+        The word's Levenshtein automaton has a state for every position and number of errors, a bit each: an integer
+        for no error, one and two. It reads what the trie spells; a branch ends where no state is left.
+        """
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        goal, found, best = 1 << len(word), None, 3
+        stack = [(self.steps, 1, 3, 7)]
+        while stack:
+            (entry, most, children), a, b, c = stack.pop()
+            if entry:
+                errors = 0 if a & goal else 1 if b & goal else 2 if c & goal else 3
+                if errors <= errors_allowed(len(entry)) and (errors, entry) < (best, found or entry + "~"):
+                    found, best = entry, errors
+            for char, child in children:
+                hit = at.get(char, 0)
+                x = (a & hit) << 1
+                y = (b & hit) << 1 | a | a << 1 | x << 1
+                z = (c & hit) << 1 | b | b << 1 | y << 1
+                if x or child[1] > 0 and y or child[1] > 1 and z:
+                    stack.append((child, x, y, z))
+        return found and (found, best)
 
 
 @dataclass
@@ -119,10 +132,10 @@ class Model:
         words = WORDS.findall(low)
         if len(self.known) > KNOWN:
             self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
+        known, distinct = self.known, set(words)
+        for w in distinct.difference(known):
             known[w] = self.match(w)
-        if not any(map(known.__getitem__, set(words))):
+        if not any(map(known.__getitem__, distinct)):
             return len(words), []
         out, spans = [], list(WORDS.finditer(low))
         for i, m in enumerate(spans):
