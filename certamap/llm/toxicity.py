@@ -229,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             y = pa.array([float(v > 0) for v in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([y, *(pa.array([r[k] for r in x], pa.float64()) for k in range(4))], names=["y", "a", "b", "c", "d"])
 
-    got = np.array(rows.mapInArrow(measure, "y double, a double, b double, c double, d double").orderBy("y", "a", "b", "c", "d").collect())
+    got = np.array(sorted(map(tuple, rows.mapInArrow(measure, "y double, a double, b double, c double, d double").collect())))
     x, y = np.column_stack([got[:, 1:], np.ones(len(got))]), got[:, 0]
     w, ridge = np.zeros(5), np.array([0.3, 0.3, 0.3, 0.3, 1e-6])
     for _ in range(40):
