@@ -83,8 +83,8 @@ def expectation(tree: dict[str, np.ndarray], x: np.ndarray, known: frozenset[int
     return out
 
 
-def shapley(model: RandomForestRegressionModel, rows: DataFrame, features: list[str], most: int = 5000) -> DataFrame:
-    """(id, base, prediction, one phi_ column a feature) for the first `most` rows by id; base and phis add up to the prediction. For up to five features: all coalitions are walked."""
+def shapley(model: RandomForestRegressionModel, rows: DataFrame, features: list[str], most: int | None = None) -> DataFrame:
+    """(id, base, prediction, one phi_ column a feature) for all rows, or the first `most` by id; base and phis add up to the prediction. For up to five features: all coalitions are walked."""
     if len(features) > 5:
         raise ValueError("exact Shapley values are for five features at the most")
     spark, p = rows.sparkSession, len(features)
@@ -103,8 +103,8 @@ def shapley(model: RandomForestRegressionModel, rows: DataFrame, features: list[
                 out[name] = sum(factorial(len(c)) * factorial(p - len(c) - 1) / factorial(p) * (value[frozenset((*c, j))] - value[frozenset(c)]) for k in range(p) for c in combinations(rest, k))
             yield pd.DataFrame(out)
 
-    top = rows.orderBy("id").limit(most).repartition(spark.sparkContext.defaultParallelism)
-    return top.mapInPandas(run, ", ".join([f"id {kind}", "base double", "prediction double", *(f"`{n}` double" for n in names)]))
+    top = rows if most is None else rows.orderBy("id").limit(most)
+    return top.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, ", ".join([f"id {kind}", "base double", "prediction double", *(f"`{n}` double" for n in names)]))
 
 
 def shapley_summary(values: DataFrame, features: list[str]) -> DataFrame:

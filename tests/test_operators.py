@@ -180,6 +180,17 @@ def test_shapley_adds_up(spark):
     assert X.importance(model, got, ["a", "b"]).count() == 2
 
 
+def test_shapley_takes_every_row(spark):
+    df = spark.range(6000).selectExpr("id AS addr_id", "cast(id % 7 AS double) AS a", "cast(id >= 5000 AS double) AS b", "cast(id >= 5000 AS double) * 9 + id % 7 AS t")
+    got = X.prepared(df, "t", ["a", "b"], "addr_id")
+    phi = X.shapley(X.fit(got, ["a", "b"], trees=2, depth=4), got, ["a", "b"]).toPandas()
+    assert sorted(phi["id"]) == list(range(6000))
+    late = phi["id"] >= 5000
+    assert phi.loc[late, "phi_b"].min() > 0 > phi.loc[~late, "phi_b"].max()
+    one = X.shapley_summary(spark.createDataFrame(phi), ["a", "b"]).collect()
+    assert {r["feature"]: r["mean_abs_phi"] for r in one} == pytest.approx({"a": phi["phi_a"].abs().mean(), "b": phi["phi_b"].abs().mean()})
+
+
 def test_bootstrap_bounds(spark):
     df = spark.createDataFrame([(i, float(i % 10)) for i in range(300)], "id long, v double")
     r = K.bootstrap(df, "v", "id", replicates=60).first()
