@@ -6,22 +6,23 @@ import base64
 import functools
 import string
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 
 LEFT, BODY, RIGHT = 24, 64, 12
 LENGTH = LEFT + BODY + RIGHT
+#: Characters from one window of a long candidate to the next; a key of up to BODY - STEP + 1 characters is whole in one of them.
+STEP = 16
 #: Characters below 128 have an id each, all others share one; context characters have ids of their own. 0 is padding.
 CHARS = 130
 EMBED, WIDTH, FILTERS = 10, 5, 32
-#: Labelled findings that the network is trained, and calibrated, on; recall that the threshold has to keep on the latter.
+#: Labelled findings that the network is trained, and calibrated, on, besides a third as many in long runs; recall that the threshold has to keep on the latter.
 TRAIN, CALIBRATE, RECALL = 3000, 1500, 0.98
 
 
 def encode(before: str, body: str, after: str) -> np.ndarray:
-    """Character ids of a candidate and its surroundings. A long body shows its two ends."""
-    if len(body) > BODY:
-        body = body[: BODY // 2] + body[-BODY // 2 :]
+    """Character ids of a candidate, or of a window of one (BODY characters at the most), and its surroundings."""
     ids = lambda s: [min(ord(c), 128) + 1 for c in s]
     row = np.zeros(LENGTH, np.int64)
     left, right = ids(before[-LEFT:]), ids(after[:RIGHT])
@@ -33,8 +34,40 @@ def encode(before: str, body: str, after: str) -> np.ndarray:
     return row
 
 
+def starts(n: int) -> list[int]:
+    """Where the windows of a candidate of `n` characters start; together they cover all of it."""
+    return [0] if n <= BODY else [*range(0, n - BODY, STEP), n - BODY]
+
+
+def view(text: str, start: int, end: int, at: int) -> np.ndarray:
+    """The window at `at` of the candidate text[start:end], encoded."""
+    a = start + at
+    b = min(end, a + BODY)
+    return encode(text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT])
+
+
 def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded findings with labels: keys in many formats, and look-alikes that are none (words, paths, dates, versions, numbers, addresses)."""
+    """Encoded windows of findings with labels: keys in many formats, and look-alikes that are none (words, paths, dates, versions, numbers, addresses)."""
+    x, y, _ = encoded(findings(n, seed))
+    return x, y
+
+
+def encoded(found: list[tuple[str, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of findings, their labels and which finding each is of. Windows that hold a part of a key only are left out, unless it fills them."""
+    x, y, of = [], [], []
+    for k, (text, s, e, a, b) in enumerate(found):
+        for w in starts(e - s):
+            lo, hi = s + w, min(e, s + w + BODY)
+            whole, apart = (lo <= a and b <= hi) or (a <= lo and hi <= b), b <= lo or hi <= a
+            if whole or apart:
+                x.append(view(text, s, e, w))
+                y.append(a < b and whole)
+                of.append(k)
+    return np.array(x), np.array(y, np.float64), np.array(of)
+
+
+def findings(n: int, seed: int, long: bool = False) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, start of the key, its end); the key of a harmless one is empty. `long`: inside addresses and paths of more than a window."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
@@ -67,14 +100,36 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: word() + str(size(1, 99)) + "." + word() + str(size(1, 99)) + "-" + "".join(word().title() for _ in range(3)),
     ]
     asks = ["key: ", "key = ", 'secret="', "token ", "Authorization: Bearer ", "auth=", "export K="]
-    x, y = [], []
+    parts = [
+        word,
+        word,
+        lambda: word() + "-" + word(),
+        lambda: f"v{size(1, 30)}",
+        lambda: f"{size(1990, 2030)}/{size(10, 13)}/{size(10, 29)}",
+        lambda: word().title() + word().title(),
+        lambda: str(size(1, 10 ** size(2, 8))),
+        lambda: word() + "_" + word() + str(size(1, 99)),
+        lambda: word() + "=" + str(size(1, 9999)),
+    ]
+    run = lambda k: "/".join(parts[size(0, len(parts))]() for _ in range(k))
+    ends = ["", ".html", ".json", ".tar.gz", "/", ".png"]
+    out = []
     for i in range(n):
         good = i % 2 == 0
         body = (secrets if good else plain)[size(0, len(secrets if good else plain))]()
         before = prose() + " " + (asks[size(0, len(asks))] if rng.random() < (0.5 if good else 0.08) else "")
-        x.append(encode(before, body, " " + prose()))
-        y.append(good)
-    return np.array(x), np.array(y, np.float64)
+        head = tail = ""
+        if long:
+            head = ("//" + ".".join(word() for _ in range(3)) if rng.random() < 0.6 else "") + "/" + run(size(1, 9)) + "/"
+            tail = "/" + run(size(1, 9)) + ends[size(0, len(ends))]
+            while len(head + body + tail) <= BODY:
+                head, tail = head + run(1) + "/", "/" + run(1) + tail
+            before = prose() + (" https:" if rng.random() < 0.5 else " ")
+        s = len(before)
+        a = s + len(head)
+        b = a + len(body)
+        out.append((before + head + body + tail + " " + prose(), s, b + len(tail), a, b if good else a))
+    return out
 
 
 @dataclass
@@ -101,6 +156,14 @@ class Net:
         parts = [1 / (1 + np.exp(-(self.slope * self.logits(x[i : i + 512]) + self.shift))) for i in range(0, len(x), 512)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
+    def best(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """The score of every candidate (text, start, end): the highest of its windows'."""
+        top = np.zeros(len(found))
+        jobs = ((k, w) for k, (_, s, e) in enumerate(found) for w in starts(e - s))
+        for part in batched(jobs, 512):
+            np.maximum.at(top, [k for k, _ in part], self.scores(np.array([view(*found[k], w) for k, w in part])))
+        return top
+
 
 def _fit(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, rate: float = 0.01) -> Net:
     rng = np.random.default_rng(seed)
@@ -136,9 +199,11 @@ def _fit(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, rate: float
 
 @functools.cache
 def trained(train: int = TRAIN, calibrate: int = CALIBRATE, recall: float = RECALL, seed: int = 5) -> Net:
-    """The network, calibrated by a logistic fit on findings it has not seen, with the highest threshold that keeps `recall` of the true ones."""
-    net = _fit(*labelled_findings(train, seed), seed)
-    x, y = labelled_findings(calibrate, seed + 1)
+    """The network, calibrated by a logistic fit on findings it has not seen, with the highest threshold that keeps `recall` of the true ones, of the long ones too."""
+    x, y, _ = encoded(findings(train, seed) + findings(train // 3, seed + 2, long=True))
+    net = _fit(x, y, seed)
+    held = [findings(calibrate, seed + 1), findings(calibrate // 3, seed + 3, long=True)]
+    x, y, _ = encoded(held[0] + held[1])
     z = np.concatenate([net.logits(x[i : i + 512]) for i in range(0, len(x), 512)])
     z = np.clip(z, -30, 30)
     a, b = 1.0, 0.0
@@ -149,6 +214,9 @@ def trained(train: int = TRAIN, calibrate: int = CALIBRATE, recall: float = RECA
         hess = np.array([[(w * z * z).sum() + 0.1, (w * z).sum()], [(w * z).sum(), w.sum()]])
         a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
     net.slope, net.shift = float(a), float(b)
-    true = np.sort(net.scores(x)[y == 1])
-    net.threshold = float(true[int((1 - recall) * len(true))])
+    keeps = []
+    for found in held:
+        true = [(t, s, e) for t, s, e, a, b in found if a < b]
+        keeps.append(np.sort(net.best(true))[int((1 - recall) * len(true))])
+    net.threshold = float(min(keeps))
     return net

@@ -1,7 +1,7 @@
 """Secret scan: patterns find the base kinds, a character convolutional network judges every other candidate.
 
 A candidate is a run of 20 or more characters that keys are made of, with a digit in it, outside the base
-spans. The network sees it with its surroundings; what scores at or above the calibrated, recall-constrained
+spans. The network sees it with its surroundings, a long one in overlapping windows of which the highest counts; what scores at or above the calibrated, recall-constrained
 threshold is added as kind `net`. Base spans stay whatever the network says.
 """
 
@@ -10,14 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certamap.llm.common import table
-from certamap.llm.secret_net import LEFT, RIGHT, Net, encode, trained
+from certamap.llm.secret_net import Net, trained
 
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -54,8 +53,7 @@ def scan(texts: list[str | None], net: Net) -> list[list[Span]]:
     base = [base_spans(t or "") for t in texts]
     found = [(i, s, e) for i, t in enumerate(texts) if t for s, e in candidates(t, base[i])]
     if found:
-        x = np.array([encode(texts[i][max(0, s - LEFT) : s], texts[i][s:e], texts[i][e : e + RIGHT]) for i, s, e in found])
-        for (i, s, e), p in zip(found, net.scores(x).tolist(), strict=True):
+        for (i, s, e), p in zip(found, net.best([(texts[i], s, e) for i, s, e in found]).tolist(), strict=True):
             if p >= net.threshold:
                 base[i].append((s, 3, e, p))
     return [sorted(b) for b in base]

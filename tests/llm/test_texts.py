@@ -160,6 +160,21 @@ def test_secret_network_held_out():
     assert y[hit].mean() >= 0.95
 
 
+def test_secret_in_the_middle_of_a_long_run(spark):
+    net, key = secret_net.trained(), "ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb3d"
+    harmless = "//cdn.example.com/v1/archive/downloads/monthly/releases/2024/05/reports/quarterly/summary.html"
+    held = [f"//cdn.example.com/v1/archive/downloads/{key}/reports/quarterly/summary.html", "/archive" * 40 + f"/v1/{key}" + "/reports" * 40]
+    texts = [f"see {x} now" for x in [harmless, *held]]
+    assert secrets.scan(texts, net)[0] == [] and [[z[:3] for z in x] for x in secrets.scan(texts, net)[1:]] == [[(4, 3, 4 + len(x))] for x in held]
+    assert secrets.redact(spark.createDataFrame([(texts[1],)], "text string")).first()[0] == "see <secret> now"
+    for n in (1, 64, 65, 80, 81, 1000):
+        assert {i for w in secret_net.starts(n) for i in range(w, min(n, w + secret_net.BODY))} == set(range(n))
+    found = secret_net.findings(600, 78, long=True)
+    true = np.array([a < b for *_, a, b in found])
+    hit = net.best([f[:3] for f in found]) >= net.threshold
+    assert hit[true].mean() >= 0.93 and true[hit].mean() >= 0.95
+
+
 def test_secret_frames(spark, docs, none):
     found = secrets.find(docs)
     assert found.count() == docs.count() and secrets.find(none).count() == 0
