@@ -71,12 +71,28 @@ class Kind:
     needs: str | None = None  # a character without which the text has no such span
 
 
+#: Characters of an account number by country, as the registry fixes them or, for some, as banks write them; country code and check digits count.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An account number takes its country's length, so that words and numbers after it are not taken with it; other codes take what they can."""
+    known = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items()]
+    other = f"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, 0.9, "mail|contact|write", True, "@"),
     Kind("ip", r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets, 0.6, "ip|address|host|server", True, "."),
     Kind("card", r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", luhn, 0.7, "card|visa|credit|payment", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone_digits, 0.7, "phone|tel|call|mobile|fax", True, "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.7, "iban|bank|account|transfer"),
+    Kind("iban", _iban(), mod97, 0.7, "iban|bank|account|transfer"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", None, 0.4, "ssn|social|security|insurance", needs="-"),
     Kind("local_phone", r"(?<![0-9+])(?<![0-9] )\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])", None, 0.4, "phone|tel|call|mobile|fax", needs="("),
 )

@@ -61,6 +61,14 @@ def test_pii_checksums_and_context(spark):
     assert [r["text"] for r in masked] == ["mail <email> or <ip> é", None]
 
 
+def test_pii_iban_before_other_words(spark):
+    one, two = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    want = {f"{one} Please pay": [one], f"{two} Thanks": [two], f"{one} BIC COBADEFF": [one], f"to {one} 2 times": [one], f"{one} IN FULL AND AT ONCE BY TODAY": [one], f"{one} {two} NO9386011117947 A": [one, two, "NO9386011117947"], f"{two}.": [two], f"{one}1 Please": [], f"X{one} Please": [], "DE88370400440532013000 Please pay": [], "DE89 3704 0044 0532 0130 00 EUR 5": ["DE89 3704 0044 0532 0130 00"], "MT84MALT011000012345MTLCAST001S Malta": ["MT84MALT011000012345MTLCAST001S"]}
+    got = pii.find(spark.createDataFrame([*enumerate(want)], "doc_id long, text string")).collect()
+    texts = list(want)
+    assert {texts[r["id"]]: [texts[r["id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "iban"] for r in got} == want
+
+
 # ------------------------------------------------------------------ main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script><style>p{{}}</style></head><body class="with-sidebar">
