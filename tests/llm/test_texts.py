@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import tiktoken
 from public_tokenizers import PATTERN
 
@@ -100,6 +101,46 @@ def test_min_cut_is_minimal():
         assert abs(cost(html_text.min_cut(odds, ties)) - best) < 1e-9
 
 
+def page_accuracy(pages, weights):
+    """(blocks, blocks that the cut labels rightly, blocks that their own log-odds label rightly)."""
+    n = cut = own = 0
+    for page, texts in pages:
+        for b, odds, keep in html_text.labelled(page, weights):
+            n, cut, own = n + 1, cut + (keep == (b.text in texts)), own + ((odds > 0) == (b.text in texts))
+    return n, cut, own
+
+
+def test_cut_decides_labels():
+    weights = html_text.fitted()
+    hand = [
+        ("<article><h1>Short</h1><p>Yes</p><p>A longer line, with a stop. And one more, too.</p><ul><li><a href=a>linked item</a></li></ul></article><div class='promo'><p>Buy now, it is cheap, and good. Really, it is.</p></div>", {"Short", "Yes", "A longer line, with a stop. And one more, too.", "linked item"}),
+        ("<div class='post-content'><p>Be</p><p>The end of it, at last.</p></div><section id='comments'><article><p>I liked this, very much. Thank you, all.</p></article></section>", {"Be", "The end of it, at last."}),
+        ("<body class='x'><div role='navigation'><p>Some words, of a menu. Others, too.</p></div><main><p>Tiny</p><p>It rains, and it pours. So be it, then.</p></main>", {"Tiny", "It rains, and it pours. So be it, then."}),
+    ]
+    n, cut, own = page_accuracy(hand, weights)
+    assert cut == n and own < n
+    n, cut, own = page_accuracy(html_text.labelled_pages(150, 99), weights)  # the fit has not seen these
+    assert cut >= 0.99 * n and own < 0.9 * n
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    flipped = sum((odds > 0) != keep for p in pages for _, odds, keep in html_text.labelled(p or "", weights))
+    assert flipped > 100
+
+
+def test_main_text_without_end_tags():
+    text = "Hello there, it is a fine day."
+    for page in ("<html><head><title>x</title><body><article><p>{}", "<html><head><title>x<body><article><p>{}</p>", "<html><head><meta charset=u><article><p>{}</p>", "<article><svg><p>{}</p>", "<article><p>{}</p><script>var a = '<p>b</p>'", "<head><title>x</title></head><article><p>{}"):
+        assert html_text.main_text(page.format(text)) == text, page
+
+
+def test_main_text_of_very_long_pages():
+    line = "Some words here, and more of them."
+    assert html_text.main_text("<div>" * 20_000 + f"<p>{line}</p>" * 3) == "\n".join([line] * 3)
+    for page in (f"<article>{f'<p>{line}</p><p>no</p>' * 8000}</article>", f"<div>{f'<p>{line}</p><p>no</p>' * 8000}</div>"):
+        assert html_text.main_text(page).count("\n") >= 7999
+    assert html_text.main_text("<svg>" * 30_000) == ""
+    assert html_text.main_text("<article><p>" + "word, " * 100_000) == ("word, " * 100_000).strip()
+
+
 def test_extract_frame(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "<p>Hello there, this is a text of some length, indeed.</p>", "y"), (2, "<p>Hello there, this is a text of some length, indeed.</p>", "y")], "page_id long, html string, main_text string")
     got = sorted((r["page_id"], r["main_text"]) for r in html_text.extract(df).collect())
