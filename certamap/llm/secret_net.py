@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import string
+import uuid
 from dataclasses import dataclass
 from itertools import batched
 
@@ -16,9 +17,9 @@ LENGTH = LEFT + BODY + RIGHT
 STEP = 16
 #: Characters below 128 have an id each, all others share one; context characters have ids of their own. 0 is padding.
 CHARS = 130
-EMBED, WIDTH, FILTERS = 10, 5, 32
-#: Labelled findings that the network is trained, and calibrated, on, besides a third as many in long runs; recall that the threshold has to keep on the latter.
-TRAIN, CALIBRATE, RECALL = 3000, 1500, 0.98
+EMBED, WIDTH, FILTERS = 8, 7, 32
+#: Labelled findings that the network is trained, and calibrated, on, besides a third as many in long runs; recall that the threshold has to keep on the latter, on the long and on the short ones alike.
+TRAIN, CALIBRATE, RECALL = 9000, 2400, 0.98
 
 
 def encode(before: str, body: str, after: str) -> np.ndarray:
@@ -47,7 +48,7 @@ def view(text: str, start: int, end: int, at: int) -> np.ndarray:
 
 
 def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded windows of findings with labels: keys in many formats, and look-alikes that are none (words, paths, dates, versions, numbers, addresses)."""
+    """Encoded windows of findings with labels: keys in many formats, and look-alikes that are none (words, paths, dates, versions, numbers, addresses, identifiers)."""
     x, y, _ = encoded(findings(n, seed))
     return x, y
 
@@ -72,7 +73,13 @@ def findings(n: int, seed: int, long: bool = False) -> list[tuple[str, int, int,
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     word = lambda: pick(string.ascii_lowercase, int(rng.integers(2, 10)))
-    prose = lambda: " ".join(word() for _ in range(int(rng.integers(1, 6))))
+    marks, tongue = ["", "", "", "!!", "***", "%%%", ",", "."], list(string.ascii_lowercase + "éèüßñó")
+
+    def prose() -> str:
+        mark = marks[int(rng.integers(0, len(marks)))]
+        out = " ".join(pick(tongue, int(rng.integers(2, 10))) + mark for _ in range(int(rng.integers(1, 6))))
+        return out.upper() if rng.random() < 0.2 else out
+
     size = lambda lo, hi: int(rng.integers(lo, hi))
     secrets = [
         lambda: "ghp_" + pick(alnum, 36),
@@ -85,7 +92,9 @@ def findings(n: int, seed: int, long: bool = False) -> list[tuple[str, int, int,
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
         lambda: pick(b64, 40),
         lambda: "AIza" + pick(alnum + "_-", 35),
+        lambda: rng.bytes(size(16, 33)).hex(),
     ]
+    short = lambda: pick(alnum, size(8, 20))
     plain = [
         lambda: "-".join(word() for _ in range(size(4, 8))),
         lambda: "_".join(word() for _ in range(size(4, 8))),
@@ -98,8 +107,20 @@ def findings(n: int, seed: int, long: bool = False) -> list[tuple[str, int, int,
         lambda: word().upper() + "_" + word().upper() + "_" + word().upper() + f"_{size(1, 9999)}",
         lambda: pick("-=_.", size(20, 60)),
         lambda: word() + str(size(1, 99)) + "." + word() + str(size(1, 99)) + "-" + "".join(word().title() for _ in range(3)),
+        lambda: pick(string.digits, size(12, 20)),
+        lambda: pick(string.digits, 16),
+        lambda: ".".join(str(size(0, 256)) for _ in range(4)),
+        lambda: word() + str(size(1, 99)) + ".example." + ("com", "org", "net")[size(0, 3)],
+        lambda: "".join(word().title() for _ in range(size(2, 5))) + ("", ".java", ".py", "2")[size(0, 4)],
+        lambda: word() + word() + word()[:3] + ".",
+        lambda: str(uuid.UUID(bytes=rng.bytes(16))),
+        lambda: f"{size(1, 30)}.{size(0, 30)}.{size(0, 30)}-" + ("beta", "rc", "alpha", "snapshot")[size(0, 4)] + str(size(1, 9)),
+        lambda: "+" + pick(string.digits, 2) + "-" + pick(string.digits, 3) + "-" + pick(string.digits, 7),
     ]
-    asks = ["key: ", "key = ", 'secret="', "token ", "Authorization: Bearer ", "auth=", "export K="]
+    # what such a word announces is a hash, not a key
+    hashes = ["commit ", "sha1: ", "md5=", "checksum ", "digest: ", "etag="]
+    tame = ["version = ", "color=", "name: ", "path=", "id: ", "user = ", "file: ", "lang="]
+    asks = ["key: ", "key = ", 'secret="', "token ", "Authorization: Bearer ", "auth=", "export K=", "password = ", 'token = "', "api_key:", "passwd=", "credential: "]
     parts = [
         word,
         word,
@@ -117,7 +138,15 @@ def findings(n: int, seed: int, long: bool = False) -> list[tuple[str, int, int,
     for i in range(n):
         good = i % 2 == 0
         body = (secrets if good else plain)[size(0, len(secrets if good else plain))]()
-        before = prose() + " " + (asks[size(0, len(asks))] if rng.random() < (0.5 if good else 0.08) else "")
+        chance = rng.random()
+        lead = asks[size(0, len(asks))] if chance < (0.5 if good else 0.08) else "" if good or chance < 0.7 else tame[size(0, len(tame))]
+        if not long and good and chance > 0.7:
+            body, lead = short(), asks[size(0, len(asks))]
+            if chance > 0.85:  # the name and the value are one run
+                body, lead = ("key=", "auth=", "token=", "K=", "pwd=", "api_key=")[size(0, 6)] + body, ""
+        if not long and not good and chance > 0.9:
+            body, lead = rng.bytes(size(8, 33)).hex(), hashes[size(0, len(hashes))]
+        before = (prose() + " " if rng.random() < 0.95 else "") + lead
         head = tail = ""
         if long:
             head = ("//" + ".".join(word() for _ in range(3)) if rng.random() < 0.6 else "") + "/" + run(size(1, 9)) + "/"
@@ -167,7 +196,8 @@ class Net:
 
 def _fit(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, rate: float = 0.01) -> Net:
     rng = np.random.default_rng(seed)
-    net = Net(rng.normal(0, 0.3, (2 * CHARS, EMBED)), rng.normal(0, (2 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS + 1))
+    shapes = (0.3, (2 * CHARS, EMBED)), ((2 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)), (0.0, FILTERS), (0.2, FILTERS + 1)
+    net = Net(*(rng.normal(0, dev, shape).astype(np.float32) for dev, shape in shapes))
     params = [net.emb, net.conv, net.bias, net.out]
     mean, var, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -179,7 +209,7 @@ def _fit(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, rate: float
             top = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0]
             h = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-(h @ net.out[:-1] + net.out[-1])))
-            g = (p - yb) / len(batch)
+            g = ((p - yb) / len(batch)).astype(np.float32)
             dh = np.outer(g, net.out[:-1]) * (top > 0)
             rows = np.arange(len(batch))[:, None]
             chosen = patches[rows, at]  # [n, f, width * embed]
@@ -204,7 +234,7 @@ def trained(train: int = TRAIN, calibrate: int = CALIBRATE, recall: float = RECA
     net = _fit(x, y, seed)
     held = [findings(calibrate, seed + 1), findings(calibrate // 3, seed + 3, long=True)]
     x, y, _ = encoded(held[0] + held[1])
-    z = np.concatenate([net.logits(x[i : i + 512]) for i in range(0, len(x), 512)])
+    z = np.concatenate([net.logits(x[i : i + 512]) for i in range(0, len(x), 512)]).astype(float)
     z = np.clip(z, -30, 30)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of the logistic fit
@@ -214,8 +244,8 @@ def trained(train: int = TRAIN, calibrate: int = CALIBRATE, recall: float = RECA
         hess = np.array([[(w * z * z).sum() + 0.1, (w * z).sum()], [(w * z).sum(), w.sum()]])
         a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
     net.slope, net.shift = float(a), float(b)
-    keeps = []
-    for found in held:
+    keeps, named = [], [f for f in held[0] if f[2] - f[1] < 26]  # the short ones among them once more, as they are the hardest
+    for found in [*held, named]:
         true = [(t, s, e) for t, s, e, a, b in found if a < b]
         keeps.append(np.sort(net.best(true))[int((1 - recall) * len(true))])
     net.threshold = float(min(keeps))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import duckdb
@@ -198,7 +199,7 @@ def test_secret_base_spans():
                 want.append((m.start(), 0, m.end()))
         want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        assert [s[:3] for s in secrets.base_spans(t)] == sorted(want)
+        assert [s[:3] for s in secrets.base_matches(t)] == sorted(want)
 
 
 def test_secret_network_held_out():
@@ -209,6 +210,45 @@ def test_secret_network_held_out():
     assert y[hit].mean() >= 0.95
 
 
+def test_network_judges_candidates_in_documents():
+    """Keys and look-alikes planted into real texts, in whose place a gate or a pattern alone would not tell them apart."""
+    net = secret_net.trained()
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t and len(t) > 400][:200]
+    rng, alnum = random.Random(17), string.ascii_letters + string.digits
+    some = lambda k: "".join(rng.choices(alnum, k=k))
+    keys = [k for _ in range(40) for k in ("ghp_" + some(36), "sk_live_" + some(24), f"eyJ{some(17)}.{some(34)}.{some(43)}", "AIza" + some(35), "auth=" + some(14))]
+    tame = ["release-notes-of-the-year-2024", "www.example.com/archive/page-12", "9807915762804490", "550e8400-e29b-41d4-a716-446655440000", "color=lightgoldenrodyellow", "MyLongClassName.java", "2024-05-17_backup_daily3", "97.51.17.173"]
+    planted = [(t[:200].rsplit(" ", 1)[0], x, t[200:].split(" ", 1)[-1]) for t in texts for x in (keys[len(t) % 200], tame[len(t) % 8])]
+    found = secrets.scan([" ".join(p) for p in planted], net)
+    hit = [any(k == 3 and s < len(a) + 1 + len(x) and len(a) + 1 < e for s, k, e, _ in spans) for (a, x, _), spans in zip(planted, found, strict=True)]
+    caught, wrong = np.mean(hit[0::2]), np.mean(hit[1::2])
+    assert caught >= 0.95 and wrong <= 0.05, (caught, wrong)
+    assert all(0 <= p <= 1 for x in found for *_, p in x)
+
+
+def test_every_base_span_is_scored(spark):
+    net = secret_net.trained()
+    texts = ["my token = 04dbebab91ab85687d33eeaaf9ac699e1188f962 end", "password: please", "the commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of today"]
+    scores = [[p for *_, p in x] for x in secrets.scan(texts, net)]
+    assert len(scores[0]) == 2 and len(scores[1]) == len(scores[2]) == 1
+    assert min(scores[0]) > scores[2][0] and min(scores[0]) > scores[1][0]
+    assert min(scores[0]) >= net.threshold > scores[1][0]
+
+
+def test_secret_candidates():
+    of = lambda t, taken=(): [t[s:e] for s, e in secrets.candidates(t, list(taken))]
+    assert of("see abcdefghijklm. or abcDefghijklm or abc=12345678x, x : 'qwertyui' y=short") == ["abcDefghijklm", "abc=12345678x", "qwertyui"]
+    assert of("a" * 19 + " " + "b" * 20 + ".") == ["b" * 20]
+    assert of("x=abcdefgh1234 k=abcdefgh", [(0, 5)]) == ["abcdefgh"]
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choices(["ab1", "Xy", "=", ":", " ", ".", "/", "longword", '"', "é"], k=rng.randint(1, 30)))
+        taken = sorted((s, s + rng.randint(1, 9)) for s in rng.sample(range(40), rng.randint(0, 3)))
+        got = secrets.candidates(t, taken)
+        assert not any(s < b and a < e for s, e in got for a, b in taken)
+        assert not any(s < b and a < e for i, (s, e) in enumerate(got) for a, b in got[:i])
+
+
 def test_secret_in_the_middle_of_a_long_run(spark):
     net, key = secret_net.trained(), "ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb3d"
     harmless = "//cdn.example.com/v1/archive/downloads/monthly/releases/2024/05/reports/quarterly/summary.html"
