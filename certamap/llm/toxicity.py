@@ -1,8 +1,8 @@
 """Toxicity: Levenshtein automata run through a lexicon trie, and context windows that tell quotation from abuse.
 
 The lexicon is learned from labelled rows: words, and stems that stand for every word they begin, whose documents are
-toxic far more often than chance has it. The trie of its words is walked with the rows of a Levenshtein
-automaton, so a word is caught with up to a given number of typing errors. Every match is weighed by
+toxic far more often than chance has it. Its trie is walked with a word's Levenshtein automaton, which accepts entries that are
+the word, and stems that are a prefix of it, with up to a given number of typing errors. Every match is weighed by
 its window: quotation marks around it or a reporting word before it make it count for less. A logistic
 regression over a document's matches gives the score.
 """
@@ -26,10 +26,10 @@ from certamap.llm.common import cut, table
 #: Labelled rows that are learned from, about: the bound on what the fit reads.
 TRAIN_ROWS = 8000
 THRESHOLD = 0.7
-#: A lexicon entry: least log-odds and G statistic of its documents, shortest stem, most entries.
-LOG_ODDS, LEAST_G, LEAST_STEM, MOST_ENTRIES = 1.5, 20.0, 4, 200
-#: Weights of a match with typing errors, and of one that is quoted.
-TYPO, QUOTED = 0.5, 0.3
+#: A lexicon entry: least log-odds, G statistic and number of its toxic documents; shortest and longest stem.
+LOG_ODDS, LEAST_G, LEAST_ROWS, LEAST_STEM, LONGEST_STEM = 1.5, 20.0, 8, 4, 12
+#: Weights of a match of a word, and of a stem, with typing errors, and of one that is quoted.
+TYPO, TYPO_STEM, QUOTED = 0.5, 0.25, 0.3
 WINDOW = 4
 #: Distinct words that a task keeps the verdict on.
 KNOWN = 400_000
@@ -41,62 +41,59 @@ REPORTING = frozenset("said says wrote writes called calls quote quoted quoting
 
 
 def errors_allowed(n: int) -> int:
-    return 0 if n < 5 else 1 if n < 9 else 2
+    return 0 if n < 4 else 1 if n < 9 else 2
 
 
 class Trie:
     """A lexicon of whole words and of stems (entries that end in *)."""
 
     def __init__(self, entries: Iterable[str]) -> None:
-        self.root: dict = {}
+        root: dict = {}
+        self.longest = 0
         for e in entries:
-            node = self.root
-            for c in e.rstrip("*"):
+            node, bare = root, e.rstrip("*")
+            self.longest = max(self.longest, len(bare))
+            for c in bare:
                 node = node.setdefault(c, {})
             node["*" if e.endswith("*") else "$"] = e
-        self.steps = self._steps(self.root)
-
-    def _steps(self, node: dict) -> tuple[str | None, int, list[tuple[str, tuple]]]:
-        """(entry that ends here, most errors of the entries from here on, children), without the branches that have stems only."""
-        own = node.get("$")
-        children = [(c, self._steps(x)) for c, x in node.items() if c not in "*$"]
-        children = [(c, x) for c, x in children if x[1] >= 0]
-        return own, max([errors_allowed(len(own)) if own else -1, *(x[1] for _, x in children)]), children
-
-    def stem(self, word: str) -> str | None:
-        node = self.root
-        for c in word:
-            if "*" in node:
-                return node["*"]
-            if (node := node.get(c)) is None:
-                return None
-        return node.get("*")
+        self.steps = self._steps(root, 0)
+
+    def _steps(self, node: dict, depth: int) -> tuple[str | None, str | None, int, list[tuple[str, tuple]]]:
+        """(word that ends here, stem that ends here, most errors of the entries from here on, children)."""
+        children = [(c, self._steps(x, depth + 1)) for c, x in node.items() if c not in "*$"]
+        own = errors_allowed(depth) if "$" in node or "*" in node else 0
+        return node.get("$"), node.get("*"), max([own, *(x[2] for _, x in children)]), children
 
     def near(self, word: str) -> tuple[str, int] | None:
-        """The nearest whole-word entry and its distance, within the errors the entry's length allows.
+        """The nearest entry and its distance, within the errors that the entry's length allows; of equally near ones a whole word, then the first in order.
 
         The word's Levenshtein automaton has a state for every position and number of errors, a bit each: an integer
-        for no error, one and two. It reads what the trie spells; a branch ends where no state is left.
+        for no error, one and two. It reads what the trie spells; a branch ends where no state is left. A whole word is
+        accepted in the last position, a stem in any. What lies further in the word than the longest entry and two errors
+        can decide nothing, but that the word is too long for a whole entry.
         """
+        goal = 1 << len(word) if len(word) <= self.longest + 2 else 0
         at: dict[str, int] = {}
-        for i, c in enumerate(word):
+        for i, c in enumerate(word[: self.longest + 2]):
             at[c] = at.get(c, 0) | 1 << i
-        goal, found, best = 1 << len(word), None, 3
-        stack = [(self.steps, 1, 3, 7)]
+        best: tuple[int, bool, str] | None = None
+        stack = [(self.steps, 0, 1, 3, 7)]
         while stack:
-            (entry, most, children), a, b, c = stack.pop()
-            if entry:
-                errors = 0 if a & goal else 1 if b & goal else 2 if c & goal else 3
-                if errors <= errors_allowed(len(entry)) and (errors, entry) < (best, found or entry + "~"):
-                    found, best = entry, errors
+            (whole, stem, _, children), depth, a, b, c = stack.pop()
+            for entry, mask in ((whole, goal), (stem, -1)):
+                if entry:
+                    errors = 0 if a & mask else 1 if b & mask else 2 if c & mask else 3
+                    found = (errors, entry is stem, entry)
+                    if errors <= errors_allowed(depth) and (best is None or found < best):
+                        best = found
             for char, child in children:
                 hit = at.get(char, 0)
                 x = (a & hit) << 1
                 y = (b & hit) << 1 | a | a << 1 | x << 1
                 z = (c & hit) << 1 | b | b << 1 | y << 1
-                if x or child[1] > 0 and y or child[1] > 1 and z:
-                    stack.append((child, x, y, z))
-        return found and (found, best)
+                if x or child[2] > 0 and y or child[2] > 1 and z:
+                    stack.append((child, depth + 1, x, y, z))
+        return best and (best[2], best[0])
 
 
 @dataclass
@@ -116,15 +113,9 @@ class Model:
         self.__post_init__()
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(entry, errors) for a word that the lexicon has or nearly has. A stem is matched without errors."""
-        if len(word) < LEAST_STEM or len(word) > 40:
-            return None
+        """(entry, errors) for a word that the lexicon has or nearly has. What clean rows have is no misspelling."""
         hit = self.trie.near(word)
-        if hit and hit[1] and word in self.clean:
-            hit = None
-        if hit is None and (stem := self.trie.stem(word)):
-            hit = (stem, 0)
-        return hit
+        return None if hit and hit[1] and word in self.clean else hit
 
     def matches(self, text: str) -> tuple[int, list[tuple[str, str, int, bool]]]:
         """The number of words, and (word, entry, errors, quoted) of every match, in the order of the text."""
@@ -148,7 +139,7 @@ class Model:
 
     def features(self, n: int, found: list[tuple[str, str, int, bool]]) -> list[float]:
         word = sum((TYPO if e else 1.0) * (QUOTED if q else 1.0) for _, x, e, q in found if not x.endswith("*"))
-        stem = sum({w: QUOTED if q else 1.0 for w, x, _, q in found if x.endswith("*")}.values())  # a word counts once
+        stem = sum({w: (TYPO_STEM if e else 1.0) * (QUOTED if q else 1.0) for w, x, e, q in found if x.endswith("*")}.values())  # a word counts once
         return [min(word, 1.0), math.log1p(word), math.log1p(stem), min(10.0, 100 * stem / max(n, 50))]
 
     def score(self, n: int, found: list[tuple[str, str, int, bool]]) -> float:
@@ -157,21 +148,21 @@ class Model:
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether a row is held out; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _g(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
-    total, out = all_pos + all_neg, 0.0
-    for a, row, col in ((pos, pos + neg, all_pos), (neg, pos + neg, all_neg), (all_pos - pos, total - pos - neg, all_pos), (all_neg - neg, total - pos - neg, all_neg)):
-        if a:
-            out += 2 * a * math.log(a * total / (row * col))
-    return out
+def _g(n_pos: int, n_neg: int) -> Column:
+    """The G statistic of a term (pos, neg) against `n_pos` toxic and `n_neg` other rows."""
+    pos, neg, total = F.col("pos"), F.col("neg"), n_pos + n_neg
+    cells = [(pos, pos + neg, n_pos), (neg, pos + neg, n_neg), (n_pos - pos, total - pos - neg, n_pos), (n_neg - neg, total - pos - neg, n_neg)]
+    return sum(F.when(a > 0, 2 * a * F.log(a * total / (row * col))).otherwise(0.0) for a, row, col in cells)
 
 
 def _terms(text: str) -> Iterable[str]:
     """The words of a text, and the stems that two or more of its words share."""
-    words = {w for w in WORDS.findall(text.lower()) if LEAST_STEM <= len(w) <= 40}
-    stems = Counter(w[:k] + "*" for w in words for k in range(LEAST_STEM, min(len(w), 12) + 1))
+    words = set(WORDS.findall(text.lower()))
+    stems = Counter(w[:k] + "*" for w in words for k in range(LEAST_STEM, min(len(w), LONGEST_STEM) + 1))
     return [*words, *(s for s, n in stems.items() if n > 1)]
 
 
@@ -205,22 +196,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model([])
     terms = rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    strong = terms.where((F.col("pos") >= 8) & (odds >= LOG_ODDS)).orderBy(F.desc("pos"), "term").limit(20 * MOST_ENTRIES).collect()
-    ranked = sorted(((-round(_g(p, n, n_pos, n_neg), 6), t.endswith("*"), -len(t), t) for t, p, n in strong))
+    strong = terms.where((F.col("pos") >= LEAST_ROWS) & (odds >= LOG_ODDS)).withColumn("g", F.round(_g(n_pos, n_neg), 6)).where(F.col("g") >= LEAST_G)
+    # terms of LEAST_ROWS training rows each: the bound on those rows is the bound here
+    ranked = sorted((-g, t.endswith("*"), -len(t), t) for t, g in strong.select("term", "g").collect())
     entries: list[str] = []
-    for g, _, _, t in ranked:
+    for _, _, _, t in ranked:
         bare = t.rstrip("*")
-        related = any(bare.startswith(e.rstrip("*")) or e.rstrip("*").startswith(bare) for e in entries)
-        if -g >= LEAST_G and not related and len(entries) < MOST_ENTRIES:
+        if not any(bare.startswith(e.rstrip("*")) or e.rstrip("*").startswith(bare) for e in entries):
             entries.append(t)
     draft = Model(entries)
 
     def typos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = {w for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not y for w in set(WORDS.findall(t.lower())) if len(w) >= LEAST_STEM and (m := draft.match(w)) and m[1]}
+            got = {w for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not y for w in set(WORDS.findall(t.lower())) if (m := draft.match(w)) and m[1]}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["w"])
 
-    clean = frozenset(r[0] for r in rows.mapInArrow(typos, "w string").distinct().orderBy("w").limit(50 * MOST_ENTRIES).collect())
+    clean = frozenset(r[0] for r in rows.mapInArrow(typos, "w string").distinct().collect())  # words of the training rows
     model = Model(entries, clean)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

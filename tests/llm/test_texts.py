@@ -276,30 +276,67 @@ def test_secret_frames(spark, docs, none):
 # ------------------------------------------------------------------ toxicity
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_levenshtein_trie_against_distance():
-    lexicon = ["moron", "worthless", "idiot", "scum"]
+    lexicon = ["moron", "worthless", "idiot", "scum", "oaf", "achlich*", "morons*", "idi*", "worthles*"]
     trie, rng = toxicity.Trie(lexicon), random.Random(9)
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    for _ in range(2000):
-        w = list(rng.choice(lexicon))
+    assert toxicity.errors_allowed(0) == toxicity.errors_allowed(3) == 0
+    for _ in range(2500):
+        w = list(rng.choice(lexicon).rstrip("*"))
         for _ in range(rng.randint(0, 3)):
             k = rng.randrange(len(w) + 1)
             w[k : k + rng.randint(0, 1)] = rng.choices("abcdiomrs", k=rng.randint(0, 1))
-        w = "".join(w)
-        near = [(d, e) for e in lexicon if (d := distance(w, e)) <= toxicity.errors_allowed(len(e))]
-        assert toxicity.errors_allowed(0) == 0
+        w = "".join(w) + rng.choice(["", "", "lich", "x" * 30])
+        near = []
+        for e in lexicon:
+            bare = e.rstrip("*")
+            d = min(distance(w[:k], bare) for k in range(len(w) + 1)) if e.endswith("*") else distance(w, bare)
+            if d <= toxicity.errors_allowed(len(bare)):
+                near.append((d, e.endswith("*"), e))
         want = min(near) if near else None
         got = trie.near(w)
-        assert (got and (got[1], got[0])) == want, w
+        assert got == (want and (want[2], want[0])), w
+    assert trie.near("idiot" + "x" * 100_000) == ("idi*", 0) and toxicity.Trie(["idiot"]).near("idiot" * 50_000) is None and toxicity.Trie([]).near("") is None
+
+
+def test_misspelt_and_quoted_terms_through_the_query(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["table", "house", "river", "green", "walks", "under", "seven", "paper"]
+    fill = lambda k: " ".join(rng.choices(words, k=k))
+    stems = ["kraulich", "kraubar", "kraulos", "kraukeit"]
+    rows = [(i, " ".join([fill(30), *(["moron", *rng.sample(stems, 3)] if i % 4 == 0 else []), fill(10)])) for i in range(400)]
+    plain, odd = f"{fill(20)} you moron {fill(20)}", {}
+    odd[1000], odd[1001], odd[1002] = plain, plain.replace("moron", "moroon"), plain.replace("moron", "m0ron")
+    odd[1003], odd[1004] = plain.replace("moron", '"moron"'), plain.replace("you moron", "he wrote moron")
+    odd[1005], odd[1006] = plain.replace("moron", "table"), plain.replace("moron", "kraulich kraulos krxubar")
+    odd[1007], odd[1008] = plain.replace("moron", "kraulich kraulos"), plain + " word" * 20_000
+    odd[1009], odd[1010] = None, "x" * 200_000
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _y long, matches string"
+    spark.createDataFrame([(i, t, "en", "a", 1, 5, "clash") for i, t in [*rows, *odd.items()]] + [(None, plain, "en", "a", 1, 5, None)], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.query(spark, str(tmp_path)).collect()}
+    score = {i: r["score"] for i, r in got.items()}
+    assert score[1000] > score[1001] > score[1005] and score[1000] > score[1002] > score[1005]  # a misspelling counts, and for less
+    assert score[1000] > score[1003] > score[1005] and score[1000] > score[1004] > score[1005]  # so does a quotation
+    assert score[1006] > score[1007] > score[1005]  # a misspelt word that a stem begins
+    assert score[1008] > score[1005] and 0 <= score[1009] <= score[1000] and len(got) == 412
+    assert got[None]["held_out"] is False and got[None]["score"] == score[1000]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
+
+
+def test_toxicity_of_empty_tables(spark, none, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.query(spark, str(tmp_path)).count() == 0
 
 
 def test_toxicity_learns_and_quotes(spark):
