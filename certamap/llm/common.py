@@ -29,16 +29,17 @@ def blocks_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, min(MOST_BLOCKS, math.ceil(rows / block_rows)))
 
 
-def blocked_prefix(df: DataFrame, group: str, place: str, ties: list[str], value: str, out: str, rows: int) -> DataFrame:
+def blocked_prefix(df: DataFrame, group: str, place: str, ties: list[str], value: str, out: str, rows: int, slim: DataFrame | None = None) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same `group` that come before, in the order of `place` and `ties`.
 
     `place` is a long that is uniform over all 64 bits. A group is cut into ranges of it, so no task
     holds a whole group: block totals give each block's offset, and a window runs inside a block only.
+    `slim` has the same rows as `df` with `group`, `place` and `value` alone, where those are at hand.
     """
     n = blocks_for(rows)
     block = F.least(F.lit(n - 1), F.floor((F.col(place).cast("double") / F.lit(2.0**64) + 0.5) * n)).cast("int")
     df = df.withColumn("_block", block)
-    totals = df.groupBy(group, "_block").agg(F.sum(value).alias("_sum"))
+    totals = (df if slim is None else slim.withColumn("_block", block)).groupBy(group, "_block").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(totals.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), "_sum").withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long")).drop("_sum"))
     inside = Window.partitionBy(group, "_block").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,6 @@
 """Mixing, sharding and the pipeline."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -30,6 +31,108 @@ def test_splitting_tree_has_hypergeometric_means():
     assert shares == pytest.approx([75, 25], abs=1.5)
 
 
+def test_hypergeometric_draws():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((5, 7, 6), (1, 0, 1), (0, 9, 4), (30, 2, 31), (3, 400, 50)):
+        draws = np.array([mix.hypergeometric(rng, good, bad, n) for _ in range(3000)])
+        each = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if k <= good and n - k <= bad else 0 for k in range(n + 1)]
+        seen = np.bincount(draws, minlength=n + 1) / len(draws)
+        assert np.abs(seen - each).max() < 0.04
+    big = np.array([mix.hypergeometric(rng, 6 * 10**10, 4 * 10**10, 5 * 10**10) for _ in range(200)], float)  # the same rule beyond 10**9
+    assert abs(big.mean() - 3e10) < 5 * 77460 / 200**0.5 and 0.8 < big.std() / 77460 < 1.25
+    quotas = [3 * 10**9, 17, 10**10]
+    assert mix.splitting_tree(quotas, 8).sum(axis=0).tolist() == quotas
+
+
+def lines(docs, block_words, most_epochs=2):
+    """{(id, text, nth such row): taken words by epoch and shard} by walking the lines word by word, from the tree's leaves up."""
+    frame = mix._mixed(docs, block_words=block_words).select("id", "source", "size", "source_size", "target", "starts").collect()
+    names = sorted({r["source"] for r in frame}, key=lambda x: (x is None, x or ""))
+    first = {r["source"]: r for r in frame}
+    quotas = [mix.quota(k, first[k]["source_size"], first[k]["target"], most_epochs, block_words) for k in names]
+    leaves, rng, out = mix.splitting_tree([q.blocks for q in quotas], 8), np.random.default_rng([mix.SEED, 1]), defaultdict(list)
+    for col, (name, q) in enumerate(zip(names, quotas, strict=True)):
+        (step, shift), (deal, off) = mix._permutation(rng, q.full), mix._permutation(rng, q.blocks)
+        owner = np.repeat(np.arange(8), leaves[:, col])
+        word_owner = []  # the shard of each word of the line, -1: not taken
+        for e in range(most_epochs):
+            for b in range(q.a_epoch):
+                rank = (b * step + shift) % q.full if b < q.full else b
+                at = e * q.a_epoch + rank
+                n = block_words if b < q.full else q.size - q.full * block_words
+                use = 0 if at >= q.blocks else min(n, q.last) if at == q.blocks - 1 else n
+                own = int(owner[(at * deal + off) % q.blocks]) if use else -1
+                word_owner += [own] * use + [-1] * (n - use)
+        for r in frame:
+            if r["source"] == name:
+                spans = [word_owner[e * q.size + r["starts"] : e * q.size + r["starts"] + r["size"]] for e in range(most_epochs)]
+                out[r["id"]].append((r["size"], [Counter(x for x in s if x >= 0) for s in spans]))
+    return out
+
+
+def test_mix_against_lines_of_words(spark, docs):
+    want = Counter()
+    for i, rows in lines(docs, 50).items():
+        for _, epochs in rows:
+            want[(i, str([sorted(e.items()) for e in epochs]))] += 1
+    got = Counter()
+    for r in mix.mix(docs, block_words=50).collect():
+        epochs = [Counter(), Counter()]
+        for p in r["pieces"]:
+            epochs[p["epoch"]][p["shard"]] += p["to_word"] - p["from_word"]
+        got[(r["id"], str([sorted(e.items()) for e in epochs]))] += 1
+    assert got == want
+
+
+def test_tree_decides_the_query(spark, monkeypatch):
+    """Without the draw, or with another one, what the query returns is another mix."""
+    sf = "/root/testdata/sf0.01"
+    was = {r["doc_id"]: r for r in mix.query(spark, sf).collect()}
+    assert len({p.split(":")[1] for r in was.values() for p in r["pieces"].split(",") if p}) == 8
+    monkeypatch.setattr(mix, "splitting_tree", lambda q, shards, seed=0: np.array([q, *[[0] * len(q)] * (shards - 1)]))
+    now = {r["doc_id"]: r for r in mix.query(spark, sf).collect()}
+    changed = sum(was[i]["pieces"] != now[i]["pieces"] for i in was)
+    assert changed > 0.5 * sum(r["taken"] > 0 for r in was.values())
+    monkeypatch.undo()
+    monkeypatch.setattr(mix, "_permutation", lambda rng, n: (1, 0))
+    now = {r["doc_id"]: r for r in mix.query(spark, sf).collect()}
+    assert sum(was[i]["taken"] != now[i]["taken"] for i in was) > 10
+
+
+def test_mix_stage_against_lines_of_words(spark, docs):
+    renamed = docs.withColumnsRenamed({"lang": "place", "id": "starts"})  # names that the operator uses itself
+    want = Counter()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, rows in lines(docs, mix.BLOCK_WORDS).items():
+        for size, epochs in rows:
+            n = 1 if not size else sum(2 * sum(e.values()) >= size for e in epochs)
+            want[(i, texts[i])] += n
+    out = mix.stage(spark, renamed, "")
+    assert out.columns == renamed.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == +want
+
+
+def test_mix_stage_deals_copies_to_the_leaves(spark):
+    rows = [(i, " ".join(["w"] * (200 + i % 700)), "en", "ab"[i % 2], 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    order = [r["doc_id"] for r in mix.stage(spark, frame, "").collect()]
+    home = defaultdict(set)
+    for r in mix.mix(frame).collect():
+        for e in (0, 1):
+            words = Counter()
+            for p in r["pieces"]:
+                if p["epoch"] == e:
+                    words[p["shard"]] += p["to_word"] - p["from_word"]
+            if 2 * sum(words.values()) >= r["size"]:
+                home[r["id"]].add(min(words, key=lambda k: (-words[k], k)))
+    at = 0  # shards come one after the other
+    for k, i in enumerate(order):
+        left = [s for s in sorted(home[i]) if s >= at]
+        assert left, (k, i, home[i], at)
+        at = left[0] if all(s > at for s in home[i]) else at
+    assert at == 7 and len(order) == sum(1 for r in mix.mix(frame).collect() for e in (0, 1) if 2 * sum(p["to_word"] - p["from_word"] for p in r["pieces"] if p["epoch"] == e) >= r["size"])
+
+
 def test_mix_takes_targets_exactly(spark, docs, none):
     rows = [r.asDict(recursive=True) for r in mix.mix(docs, block_words=50).collect()]
     assert len(rows) == docs.count() and mix.mix(none).count() == 0
