@@ -205,6 +205,42 @@ def test_shard_edges(spark, docs, none):
     assert shard.shard(docs).count() == docs.count()
 
 
+def test_tree_against_brute_force(spark):
+    """Every split is on the widest dimension that has a good cut between texts, at the cut whose bytes below are nearest to the goal."""
+    rows = shard.measured(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    placed = shard._placed(rows, shard.ranges(rows))
+    splits = shard.grow(placed, 8)
+    frame = placed.select("size", *shard.DIMENSIONS, *(f"v_{d}" for d in shard.DIMENSIONS)).toPandas()
+    assert len(splits) == 7 and len({d for d, _ in splits.values()}) > 1
+    inside = {1: frame}
+    for n in sorted(splits):
+        own, (dim, at) = inside[n], splits[n]
+        w, total = own["size"], own["size"].sum()
+        spread = {}
+        for d in shard.DIMENSIONS:
+            x = own[f"v_{d}"] / 2**shard.VALUE_BITS
+            spread[d] = (x * x * w).sum() / total - ((x * w).sum() / total) ** 2
+        order = sorted(shard.DIMENSIONS, key=lambda d: -round(spread[d], 12))
+        off = {d: (own.groupby(own[d] // 2**shard.ROW_BITS)["size"].sum().sort_index().cumsum() - total / 2).abs().min() for d in order}
+        assert dim == next(d for d in order if off[d] <= shard.TOLERANCE * total / {1: 8, 2: 4, 3: 4}.get(n, 2))
+        assert abs(own["size"][own[dim] < at].sum() - total / 2) == off[dim]
+        inside[2 * n], inside[2 * n + 1] = own[own[dim] < at], own[own[dim] >= at]
+
+
+def test_leaves_reach_target_bytes(spark):
+    df = spark.createDataFrame([(i, f"some text {i} " * (1 + i % 9)) for i in range(2000)], "doc_id long, text string")
+    size = Counter()
+    for r in shard.shard(df, target_bytes=20_000).collect():
+        size[r["shard"]] += r["size"]
+    assert len(size) == -(-sum(size.values()) // 20_000) and max(size.values()) <= 1.05 * 20_000
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(600)], "doc_id long, text string")
+    rows = shard.shard(df).collect()
+    assert Counter(r["shard"] for r in rows) and len({(r["shard"], r["slot"]) for r in rows}) == 600
+
+
 def test_shard_write_agrees(spark, docs, tmp_path):
     path = str(tmp_path / "out")
     shard.write(docs, path)
