@@ -2,16 +2,16 @@
 
 Two 64-bit fingerprints that differ in 3 bits or fewer differ in at most 3 of their 8 bytes, so they
 share at least 5 positional bytes. A posting list for each single (position, byte) would hold a 256th
-of all fingerprints, so the lists are keyed by four positions at once: the 14 blocks of the Steiner
-system S(3,4,8) are such that, whichever 3 positions differ, one block lies within the other 5. The
-members of a list are compared by tallying the positional bytes a pair shares; pairs that reach the
-guaranteed minimum are verified by their differing bits. A list emits a spanning forest of its
-links, never its pairs.
+of all fingerprints, so the lists of the distributed index are keyed by four positions at once: the 14 blocks of the Steiner
+system S(3,4,8) are such that, whichever 3 positions differ, one block lies within the other 5. Inside a
+list the other four positions have posting lists by (position, byte): the hits of a pair are tallied, only pairs that
+reach the guaranteed minimum of 5 shared bytes are kept, and only those are verified by their differing bits.
+A list emits a spanning forest of its links, never its pairs; a long list is dealt to its inner posting lists instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -69,53 +69,90 @@ def steiner_blocks() -> list[tuple[int, ...]]:
     return [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 
 
-def forest(fps: np.ndarray, least_shared: int, most_bits: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links among `fps`, found breadth first with one comparison of each pair at most."""
+def tally(front: np.ndarray, left: np.ndarray, positions: Sequence[int], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (into front, into left) of the pairs that share at least `least` of the bytes at `positions`, by counting their hits in posting lists."""
+    codes = []
+    for p in positions:
+        shift = np.uint64(8 * p)
+        own, theirs = (front >> shift).astype(np.uint8), (left >> shift).astype(np.uint8)
+        order = np.argsort(theirs, kind="stable")
+        ends = np.cumsum(np.bincount(theirs, minlength=256))
+        starts = ends - np.diff(ends, prepend=0)
+        size = (ends - starts)[own]
+        row = np.repeat(np.arange(len(front)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[own], size)
+        codes.append(row * len(left) + order[at])
+    code, hits = np.unique(np.concatenate(codes), return_counts=True)
+    code = code[hits >= least]
+    return code // len(left), code % len(left)
+
+
+def forest(fps: np.ndarray, positions: Sequence[int], most_bits: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the links among `fps`, which share the bytes that are not at `positions`; breadth first, with one tally of each pair at most."""
     left = fps.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
+    least = len(positions) - most_bits  # of the bytes at the positions, when the others are shared
     while len(left) > 1:
         root, left = left[0], left[1:]
         front = np.array([root], np.uint64)
         while len(front) and len(left):
             hit = np.zeros(len(left), bool)
             for at in range(0, len(front), 256):
-                apart = front[at : at + 256, None] ^ left[None, :]
-                shared = (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(axis=2)
-                near = shared >= least_shared
-                near &= np.bitwise_count(apart) <= most_bits
-                hit |= near.any(axis=0)
+                part = front[at : at + 256]
+                if least > 0:
+                    a, b = tally(part, left, positions, least)
+                    hit[b[np.bitwise_count(part[a] ^ left[b]) <= most_bits]] = True
+                else:  # the list itself has the guaranteed minimum
+                    hit |= (np.bitwise_count(part[:, None] ^ left[None, :]) <= most_bits).any(axis=0)
             front, left = left[hit], left[~hit]
             for x in front.view(np.int64).tolist():
                 yield int(root.astype(np.int64)), x
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _postings(fps: DataFrame, list_block: int) -> DataFrame:
-    """(q, v, i, j, fp): q, v name a posting list; i, j the pair of blocks of it that meet (0, 0 if it is one block)."""
-    masks = [sum(255 << (8 * p) for p in block) for block in steiner_blocks()]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    lists = F.array(*[F.struct(F.lit(q).alias("q"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for q, m in enumerate(signed)])
+    """(q, p, v, i, j, fp): q, p, v name a posting list, of the block q of positions or (p >= 0) of that and position p; i, j the pair of blocks of it that meet (0, 0 if it is one block).
+
+    A list of more than `list_block` fingerprints is dealt to its inner lists: a link in it shares a byte at one of the other
+    four positions, too. Inner lists that are still too long meet block by block.
+    """
+    blocks = steiner_blocks()
+    mask = lambda positions: F.lit(_signed(sum(255 << (8 * p) for p in positions)))
+    lists = F.array(*[F.struct(F.lit(q).alias("q"), F.col("fp").bitwiseAND(mask(block)).alias("v")) for q, block in enumerate(blocks)])
     index = fps.select("fp", F.inline(lists))
-    long = cut(index.groupBy("q", "v").count().where(F.col("count") > list_block).select(F.col("q").alias("lq"), F.col("v").alias("lv"), F.ceil(F.col("count") / list_block).cast("int").alias("nb")))
+    long = cut(index.groupBy("q", "v").count().where(F.col("count") > list_block).select(F.col("q").alias("lq"), F.col("v").alias("lv")))
     if long.isEmpty():
-        return index.select("q", "v", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    index = index.join(long, (F.col("q") == F.col("lq")) & (F.col("v") == F.col("lv")), "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("nb", F.lit(1))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))
-    return index.select("q", "v", own.alias("own"), other.alias("other"), "fp").select("q", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        return index.select("q", F.lit(-1).alias("p"), "v", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    same = (F.col("q") == F.col("lq")) & (F.col("v") == F.col("lv"))
+    inner = F.lit(None).cast("array<struct<p:int,v:bigint>>")
+    for q, block in enumerate(blocks):
+        each = [F.struct(F.lit(p).alias("p"), F.col("fp").bitwiseAND(mask((*block, p))).alias("v")) for p in range(8) if p not in block]
+        inner = F.when(F.col("q") == q, F.array(*each)).otherwise(inner)
+    short = index.join(long, same, "left_anti").select("q", F.lit(-1).alias("p"), "v", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    deep = cut(index.join(long, same, "left_semi").select("q", "fp", F.inline(inner)))
+    longer = cut(deep.groupBy("q", "p", "v").count().where(F.col("count") > list_block).select(F.col("q").alias("lq"), F.col("p").alias("lp"), F.col("v").alias("lv"), F.ceil(F.col("count") / list_block).cast("int").alias("nb")))
+    deep = deep.join(longer, same & (F.col("p") == F.col("lp")), "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    met = deep.select("q", "p", "v", own.alias("own"), other.alias("other"), "fp").select("q", "p", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return short.union(met)
 
 
 def links(fps: DataFrame, most_bits: int = MOST_BITS, list_block: int = LIST_BLOCK) -> DataFrame:
     """(a, b): links that join every two of the distinct `fp` values that are connected at `most_bits` differing bits (3 at most)."""
-    least_shared = 8 - most_bits
+    blocks = steiner_blocks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: np.ndarray | None = None  # the rows of the list that the next batch may continue
 
         def lists(rows: np.ndarray) -> pa.RecordBatch | None:
-            ends = np.flatnonzero(np.concatenate([(rows[1:, :4] != rows[:-1, :4]).any(axis=1), [True]])) + 1
+            ends = np.flatnonzero(np.concatenate([(rows[1:, :5] != rows[:-1, :5]).any(axis=1), [True]])) + 1
             starts = np.concatenate([[0], ends[:-1]])
             found: list[tuple[int, int]] = []
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                found += forest(np.ascontiguousarray(rows[s:e, 4]), least_shared, most_bits)
+                shared = (*blocks[rows[s, 0]], rows[s, 1])
+                found += forest(np.ascontiguousarray(rows[s:e, 5]), [p for p in range(8) if p not in shared], most_bits)
             if not found:
                 return None
             a, b = np.array(found, np.int64).T
@@ -127,7 +164,7 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS, list_block: int = LIST_BLO
             rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if keep is not None:
                 rows = np.concatenate([keep, rows])
-            last = int(np.flatnonzero((rows[:, :4] == rows[-1, :4]).all(axis=1))[0])
+            last = int(np.flatnonzero((rows[:, :5] == rows[-1, :5]).all(axis=1))[0])
             keep = rows[last:]
             if last and (out := lists(rows[:last])) is not None:
                 yield out
@@ -136,7 +173,7 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS, list_block: int = LIST_BLO
 
     spark = fps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _postings(fps, list_block).repartition(n, "q", "v", "i", "j").sortWithinPartitions("q", "v", "i", "j")
+    dealt = _postings(fps, list_block).repartition(n, "q", "p", "v", "i", "j").sortWithinPartitions("q", "p", "v", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")
 
 

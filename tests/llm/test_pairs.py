@@ -76,6 +76,33 @@ def test_links_keep_every_component(spark, list_block):
     assert {n: found.get(n, n) for n in nodes} == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_tally_and_forest_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 5)
+    fps = np.unique(np.concatenate([base, *[b ^ (1 << rng.integers(0, 32, 20)) for b in base], *[b ^ rng.integers(0, 1 << 32, 12) for b in base]])).astype(np.int64)
+    fps = fps & 0xFFFFFFFF | 0x12345678 << 32  # one list: bytes 4 to 7 are shared
+    view = fps.view(np.uint64)
+    for least in (1, 2, 3):
+        a, b = simhash.tally(view[:30], view, range(4), least)
+        same = (view[:30, None].view(np.uint8).reshape(30, 1, 8)[:, :, :4] == view.view(np.uint8).reshape(1, -1, 8)[:, :, :4]).sum(axis=2)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(same >= least).tolist()]
+    a, b = simhash.tally(view, view, range(4), 1)
+    assert len(a) < 0.5 * len(view) ** 2  # what is verified is a part of all pairs
+    want = closure(fps.tolist(), lambda x, y: (x ^ y).bit_count() <= 3)
+    edges = list(simhash.forest(fps, range(4), 3))
+    root = {x: x for x in fps.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    assert {x: find(x) for x in root} == want
+
+
 def test_steiner_blocks_cover_every_agreement():
     from itertools import combinations
 
