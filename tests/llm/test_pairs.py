@@ -126,10 +126,11 @@ def make_vectors(n, near, seed):
     return v
 
 
-@pytest.mark.parametrize(("rows", "shard_rows", "block"), [(400, 1000, 4000), (900, 150, 4000), (600, 200, 60)])
-def test_vectors_against_brute_force(spark, monkeypatch, rows, shard_rows, block):
+@pytest.mark.parametrize(("rows", "shard_rows", "split", "fan"), [(400, 1000, 4000, 1024), (900, 150, 4000, 1024), (900, 60, 150, 3)])
+def test_vectors_against_brute_force(spark, monkeypatch, rows, shard_rows, split, fan):
     monkeypatch.setattr(vectors, "SHARD_ROWS", shard_rows)
-    monkeypatch.setattr(vectors, "SHARD_BLOCK", block)
+    monkeypatch.setattr(vectors, "SPLIT_ROWS", split)
+    monkeypatch.setattr(vectors, "FAN", fan)
     v = make_vectors(rows, 120, rows)
     data = [(i, x.tolist()) for i, x in enumerate(v)] + [(10_000 + i, v[3].tolist()) for i in range(5)] + [(11_000, (2 * v[4]).tolist())]
     data += [(20_000, None), (20_001, []), (20_002, [0.0] * 16), (20_003, [float("nan")] * 16), (20_004, [None] + [1.0] * 15), (20_005, [1e308] * 16), (20_006, [1.0, 2.0])]
