@@ -1,7 +1,7 @@
 """Personal data with DataFrame functions only.
 
 Regular expressions propose spans, checksum validators (Luhn, mod-97) confirm them, and words
-nearby adjust the score. Four base kinds are kept whatever their score; the other kinds are
+nearby, before a span or behind it, raise or lower the score. Four base kinds are kept whatever their score; the other kinds are
 added where their score reaches the threshold.
 
 Every pattern uses possessive loops and starts only where a run starts (or where the last match
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from certamap.llm.common import table
 
 THRESHOLD = 0.6
-#: Characters before a span in which context words count.
-NEAR = 48
-CONTEXT_GAIN = 0.35
+#: Characters before a span, and after it, in which context words count; what a word of the kind adds to the score, and what one that speaks against personal data takes off.
+NEAR, AFTER = 48, 24
+CONTEXT_GAIN, CONTEXT_LOSS = 0.35, 0.25
+AGAINST = "order|invoice|version|serial|part|item|sku|isbn|model|build"
 
 
 def _digits(x: Column) -> Column:
@@ -125,8 +126,10 @@ def spans(text: Column, kind: Kind) -> Column:
 
     def scored(x: Column) -> Column:
         lo = F.greatest(F.lit(0), x["start"] - NEAR)
-        near = F.substr(text, lo + 1, x["start"] - lo).rlike(rf"(?i)\b(?:{kind.context})")
-        score = F.when(near, F.lit(min(1.0, kind.score + CONTEXT_GAIN))).otherwise(F.lit(kind.score))
+        around = F.array(F.concat_ws("\n", F.substr(text, lo + 1, x["start"] - lo), F.substr(text, x["end"] + 1, F.lit(AFTER))))
+        gain = lambda c: F.when(c.rlike(rf"(?i)\b(?:{kind.context})"), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        loss = lambda c: F.when(c.rlike(rf"(?i)\b(?:{AGAINST})"), F.lit(CONTEXT_LOSS)).otherwise(F.lit(0.0))
+        score = F.transform(around, lambda c: F.round(F.least(F.lit(1.0), F.lit(kind.score) + gain(c) - loss(c)), 6))[0]
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"), F.lit(kind.base).alias("base"))
 
     out = F.transform(got, scored)
@@ -144,7 +147,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with every confirmed span of the text replaced by <kind>; overlapping spans are replaced by the first of them."""
+    """`docs` with every confirmed span of the text replaced by <kind>; overlapping spans are replaced by the first of them.
+
+    A null text stays null, an empty one empty; repeated rows are treated alike, an empty table stays empty, and other columns pass through, whatever their names.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     all_spans = F.sort_array(F.transform(F.concat(*[spans(text, k) for k in KINDS]), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
