@@ -20,7 +20,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 MOST_SYMBOLS, MOST_MARKS, MOST_DUP_LINES, WORD_CHARS = 10, 30, 60, (2, 14)
 SYMBOLS = "#*$%&|<>"
 #: Rows that costs and selectivities are estimated on, about, and how often each is looked at to time a rule.
-SAMPLE_ROWS, REPEATS = 1000, 10
+SAMPLE_ROWS, REPEATS = 1000, 2
 
 
 def _with(x: Column, f: Callable[[Column], Column]) -> Column:
