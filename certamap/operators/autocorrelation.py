@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certamap.operators.lineage import cut
+from certamap.operators.ranks import value_ranks
 
-QUADRANTS = {1: "HH", 2: "LH", 3: "LL", 4: "HL"}
-PERMUTATIONS = 999
+QUADRANTS = {1: "High-High", 2: "Low-High", 3: "Low-Low", 4: "High-Low"}
+PERMUTATIONS, SEED, SIGNIFICANT, HOT = 999, 42, 0.05, 1.96
+#: Decimals to which a statistic and its permuted ones are compared, so that equal draws count as equal whatever the order of their sums.
+PLACES = 9
 
 
 def row_standardised(edges: DataFrame) -> DataFrame:
@@ -34,12 +38,31 @@ def lags(units: DataFrame, weights: DataFrame, value: str, id_col: str) -> tuple
     return out, {"n": n, "s2": s2, "s0": s0, "mean": mean}
 
 
-def moran_global(units: DataFrame, weights: DataFrame, value: str, id_col: str) -> DataFrame:
-    """One row: n, s0, moran_i."""
+def moran_global(units: DataFrame, weights: DataFrame, value: str, id_col: str, permutations: int = 0, seed: int = SEED) -> DataFrame:
+    """One row: n, s0, moran_i, and p_sim where there are permutations.
+
+    In permutation r the units' values are dealt to them in the order of md5("seed:r:id"), each in a task of its own: units are the areas of a map.
+    """
     out, k = lags(units, weights, value, id_col)
     top = out.agg(F.sum(F.col("z") * F.col("lag"))).first()[0]
     i = k["n"] / k["s0"] * top / k["s2"] if k["s0"] and k["s2"] and top is not None else None
-    return units.sparkSession.createDataFrame([(k["n"], k["s0"], i)], "n long, s0 double, moran_i double")
+    spark = units.sparkSession
+    if not permutations:
+        return spark.createDataFrame([(k["n"], k["s0"], i)], "n long, s0 double, moran_i double")
+    schema = "n long, s0 double, moran_i double, p_sim double"
+    if i is None:
+        return spark.createDataFrame([(k["n"], k["s0"], None, None)], schema)
+    r = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("r")
+    dealt = out.select("id", "z", r).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("id").cast("string"))))
+    at = lambda *by: F.row_number().over(Window.partitionBy("r").orderBy(*by))
+    ranked = dealt.withColumns({"_to": at("_h", "id"), "_from": at("id")})
+    values = cut(ranked.select("r", F.col("id"), "_to").join(ranked.select("r", F.col("_from").alias("_to"), F.col("z").alias("_z")), ["r", "_to"]).select("r", "id", "_z"))
+    a = values.select(F.col("r").alias("_ra"), F.col("id").alias("_ia"), F.col("_z").alias("_za"))
+    b = values.select(F.col("r").alias("_rb"), F.col("id").alias("_ib"), F.col("_z").alias("_zb"))
+    each = a.join(weights, F.col("_ia") == F.col("i")).join(b, (F.col("j") == F.col("_ib")) & (F.col("_ra") == F.col("_rb")))
+    sims = each.groupBy("_ra").agg((F.sum(F.col("w") * F.col("_za") * F.col("_zb")) * (k["n"] / k["s0"] / k["s2"])).alias("sim"))
+    larger = sims.where(F.round("sim", PLACES) >= round(i, PLACES)).count()
+    return spark.createDataFrame([(k["n"], k["s0"], i, (min(larger, permutations - larger) + 1) / (permutations + 1))], schema)
 
 
 def moran_local(units: DataFrame, weights: DataFrame, value: str, id_col: str) -> DataFrame:
@@ -50,43 +73,86 @@ def moran_local(units: DataFrame, weights: DataFrame, value: str, id_col: str) -
     return out.select("id", "z", "lag", F.try_divide((k["n"] - 1) * F.col("z") * F.col("lag"), F.lit(float(k["s2"]))).alias("local_i"), q.alias("q"))
 
 
-def permuted_p(units: DataFrame, weights: DataFrame, value: str, id_col: str, permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
-    """`moran_local` with p_sim, sig and lisa_label (quadrant if p < 0.05, else NS).
+def draws(others: int, most: int, permutations: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
+    """[permutations, most] indexes below `others`, different in a row: the first such that md5("seed:r:t") gives, t = 0, 1, ..."""
+    most = min(most, others)
+    out = np.zeros((permutations, most), np.int64)
+    for r in range(permutations):
+        got: dict[int, None] = {}
+        t = 0
+        while len(got) < most:
+            got.setdefault(int(hashlib.md5(f"{seed}:{r + 1}:{t}".encode()).hexdigest()[:8], 16) % others)
+            t += 1
+        out[r] = list(got)
+    return out
+
 
-    Conditional permutation: a unit's value stays, its neighbours are drawn from the other units without replacement. The
-    deviations are broadcast: areas, not addresses, so their number is that of a map's units.
+def _permuted(rows: DataFrame, weights: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(id, larger): in how many conditional permutations the weighted sum of drawn values, times the unit's scale, is at least its own, times the scale.
+
+    `rows` has id, v, scale and own, the unit's weighted sum of v over its neighbours; a null own gives no count. A unit's neighbours are drawn from the other units without replacement, the
+    same indexes for every unit, so values are wanted at 2 * permutations * (most neighbours of a unit) places only, however many units there are.
     """
-    local = moran_local(units, weights, value, id_col)
-    wide = weights.groupBy("i").agg(F.collect_list("w").alias("ws"))
-    rows = cut(local.join(wide, F.col("id") == F.col("i"), "left").drop("i"))
-    z = np.array([r[0] for r in rows.orderBy("id").select("z").collect()])
-    shared = units.sparkSession.sparkContext.broadcast(z)
+    spark = rows.sparkSession
+    wide = weights.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "w")))["w"].alias("ws"))  # the neighbours of one unit
+    placed = value_ranks(rows.select("id"), "id").select(F.col("v").alias("_p"), (F.col("rank") - 1).cast("long").alias("at"))
+    rows = cut(rows.join(wide, F.col("id") == F.col("i"), "left").drop("i").join(placed, F.col("id") == F.col("_p")).drop("_p"))
+    everyone = cut(placed.join(rows.select(F.col("id").alias("_q"), "v"), F.col("_p") == F.col("_q"), "left").select("at", "v"))
+    n, most = everyone.count(), rows.agg(F.max(F.size("ws"))).first()[0] or 0
+    if n < 2 or not most:
+        return rows.select("id", F.lit(None).cast("long").alias("larger"))
+    drawn = draws(n - 1, most, permutations, seed)
+    wanted = spark.createDataFrame([(int(x),) for x in np.unique(np.concatenate([drawn.ravel(), drawn.ravel() + 1]))], "_w long")
+    value = dict(everyone.join(wanted, F.col("at") == F.col("_w")).select("at", "v").collect())  # as many as the draws name
+
+    before = np.array([[value[x] for x in row] for row in drawn.tolist()])
+    after = np.array([[value[x + 1] for x in row] for row in drawn.tolist()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = shared.value
-        s2 = float((z * z).sum())
         for b in batches:
-            ps = []
-            for r in b.itertuples():
-                if r.ws is None or len(r.ws) == 0 or not s2:
-                    ps.append(None)
-                    continue
-                rng = np.random.default_rng([seed, abs(int(r.id))])
-                w = np.sort(np.asarray(r.ws, float))
-                own = int(np.argmin(np.abs(z - r.z)))
-                others = np.delete(z, own)
-                k = min(len(w), len(others))
-                draw = np.argpartition(rng.random((permutations, len(others))), k - 1, axis=1)[:, :k]
-                sim = (len(z) - 1) * r.z * (others[draw] @ w[:k]) / s2
-                larger = int((sim >= r.local_i).sum())
-                ps.append((min(larger, permutations - larger) + 1) / (permutations + 1))
-            yield b[["id", "z", "lag", "local_i", "q"]].assign(p_sim=ps)
-
-    kind = dict(rows.dtypes)["id"]
-    out = rows.mapInPandas(run, f"id {kind}, z double, lag double, local_i double, q double, p_sim double").withColumn("q", F.col("q").cast("int"))
-    sig = F.coalesce(F.col("p_sim") < 0.05, F.lit(False))
+            larger = []
+            for at, scale, own, ws in zip(b["at"], b["scale"], b["own"], b["ws"], strict=True):
+                w = np.asarray(ws, float)[: drawn.shape[1]]
+                sim = np.where(drawn[:, : len(w)] < at, before[:, : len(w)], after[:, : len(w)]) @ w
+                larger.append(int((np.round(scale * sim, PLACES) >= round(scale * own, PLACES)).sum()))
+            yield pd.DataFrame({"id": b["id"], "larger": larger})
+
+    return rows.where("own is not null").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, larger long")
+
+
+def _p(larger: Column, permutations: int) -> Column:
+    return (F.least(larger, F.lit(permutations) - larger) + 1) / F.lit(float(permutations + 1))
+
+
+def lisa(units: DataFrame, weights: DataFrame, value: str, id_col: str, permutations: int = PERMUTATIONS, seed: int = SEED, none: str = "NS") -> DataFrame:
+    """`moran_local` with p_sim by conditional permutation, sig and lisa_label: the quadrant's name if p_sim < 0.05, else `none`."""
+    local = cut(moran_local(units, weights, value, id_col))
+    # a unit's statistic is a positive multiple of z times the lag
+    counted = _permuted(local.select("id", F.col("z").alias("v"), F.col("z").alias("scale"), F.col("lag").alias("own")), weights.join(local.select(F.col("id").alias("_j")), F.col("j") == F.col("_j")).select("i", "j", "w"), permutations, seed)
+    out = local.join(counted.withColumnRenamed("id", "_k"), F.col("id") == F.col("_k"), "left").drop("_k")
+    out = out.withColumn("p_sim", F.when(F.col("lag").isNotNull(), _p(F.col("larger"), permutations))).drop("larger")
+    sig = F.coalesce(F.col("p_sim") < SIGNIFICANT, F.lit(False))
     name = F.try_element_at(F.create_map(*[F.lit(x) for p in QUADRANTS.items() for x in p]), F.col("q"))
-    return out.withColumns({"sig": sig, "lisa_label": F.when(sig, name).otherwise("NS")})
+    return out.withColumns({"sig": sig, "lisa_label": F.when(sig, name).otherwise(none)})
+
+
+def label_counts(labelled: DataFrame, label: str, names: list[str]) -> DataFrame:
+    """(label, n, pct): every name, those that no unit has included."""
+    n = labelled.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = labelled.sparkSession.createDataFrame([(x,) for x in names], "label string")
+    out = grid.join(n, F.col("label") == F.col("_l"), "left").select("label", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+    return out.withColumn("pct", F.try_divide(F.col("n") * 100.0, F.sum("n").over(Window.partitionBy(F.lit(0))).cast("double")))
+
+
+def spots(units: DataFrame, weights: DataFrame, value: str, id_col: str, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+    """(id, z, p_sim, spot): local G by the given weights, its permutation p, and hot or cold where z is beyond 1.96."""
+    z = cut(getis_ord(units, weights, value, id_col))
+    used = units.where(F.col(value).isNotNull()).select(F.col(id_col).alias("id"), F.col(value).cast("double").alias("v"))
+    known = weights.join(used.select(F.col("id").alias("_j"), F.col("v").alias("_v")), F.col("j") == F.col("_j"))
+    own = known.groupBy("i").agg(F.sum(F.col("w") * F.col("_v")).alias("own"))
+    counted = _permuted(used.join(own, F.col("id") == F.col("i"), "left").select("id", "v", F.lit(1.0).alias("scale"), "own"), known.select("i", "j", "w"), permutations, seed)
+    spot = F.when(F.col("z") > HOT, "hot").when(F.col("z") < -HOT, "cold").otherwise("none")
+    return z.join(counted.withColumnRenamed("id", "_k"), F.col("id") == F.col("_k"), "left").select("id", "z", _p(F.col("larger"), permutations).alias("p_sim"), spot.alias("spot"))
 
 
 def getis_ord(units: DataFrame, edges: DataFrame, value: str, id_col: str, star: bool = False) -> DataFrame:

@@ -155,7 +155,6 @@ def qq(df: DataFrame, value: str, points: int = 19) -> DataFrame:
 
 
 def dense_labels(clusters: DataFrame) -> DataFrame:
-    """Cluster ids as 0, 1, 2, ... in the order of their roots; noise stays -1. The window runs over clusters, not points."""
-    ids = clusters.where("cluster >= 0").select("cluster").distinct()
-    named = ids.withColumn("label", F.dense_rank().over(Window.orderBy("cluster")) - 1).withColumnRenamed("cluster", "_c")
-    return clusters.join(F.broadcast(named) if ids.count() < 100_000 else named, F.col("cluster") == F.col("_c"), "left").select("id", F.coalesce("label", F.lit(-1)).alias("cluster"), "core")
+    """Cluster ids as 0, 1, 2, ... in the order of their roots; noise stays -1. The roots are numbered in range blocks."""
+    named = value_ranks(clusters.where("cluster >= 0").select("cluster").distinct(), "cluster").select(F.col("v").alias("_c"), (F.col("rank") - 1).cast("long").alias("label"))
+    return clusters.join(named, F.col("cluster") == F.col("_c"), "left").select("id", F.coalesce("label", F.lit(-1)).alias("cluster"), "core")

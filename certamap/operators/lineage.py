@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_root: dict[str, str] = {}
+#: Folders that this session has written under its shared root; they go when it ends.
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor can read: spark.checkpoint.dir, the context's checkpoint folder, or else the warehouse, which is shared wherever tables are."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = tempfile.mkdtemp(prefix="certamap-")
-    return _own_root[app]
+    return root or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/certamap-{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@atexit.register
+def drop_written() -> None:
+    """Delete what `cut` has written, once nothing reads it any more; nothing is lost where the session has gone already."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:
+            continue
+        try:
+            _remove(spark, path)
+        except Exception:  # the JVM has ended before us
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
+    """Write `df` as a table in the shared folder and read it back: lineage ends there and a lost executor loses nothing. The table stays until the session ends."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/certamap-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

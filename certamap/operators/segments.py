@@ -29,7 +29,6 @@ def metrics_by_segment(df: DataFrame, segment: Column | str, distance: str = "ma
     have = {c.lower(): c for c in df.columns}
     col = lambda c: F.col(have[c]) if c in have else F.lit(None).cast("double")
     d = col(distance.lower())
-    total = df.count()
     aggs = [
         F.count(F.lit(1)).alias("n"),
         *(F.avg(col(c)).alias(f"{c}_mean") for c in ("lci", "mci", "pci", "gci")),
@@ -40,8 +39,9 @@ def metrics_by_segment(df: DataFrame, segment: Column | str, distance: str = "ma
         mae(d).alias("mae"),
         *([F.avg(d.isNotNull().cast("int")).alias("match_rate")] if match_rate else []),
     ]
-    out = df.withColumn("segmento", key).where("segmento is not null").groupBy("segmento").agg(*aggs)
-    out = out.withColumn("pct", F.try_divide(F.col("n") * 100.0, F.lit(float(total))))
+    groups = df.withColumn("segmento", key).groupBy("segmento").agg(*aggs)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a segment
+    out = groups.withColumn("pct", F.try_divide(F.col("n") * 100.0, total.cast("double"))).where("segmento is not null")
     return out.select("segmento", "n", "pct", *[c for c in out.columns if c not in ("segmento", "n", "pct")]).orderBy(F.desc("n"), "segmento")
 
 

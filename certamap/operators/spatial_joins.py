@@ -27,18 +27,26 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, attrs: list[str],
     """Left join: `points` (x, y) with `attrs` of the polygons (poly_id, ring) they are strictly inside.
 
     A point on a line is in no polygon, points in several are repeated (ties="first" keeps the smallest
-    poly_id), points in none keep nulls. `side` is the cells' side, about that of a usual polygon's box.
+    poly_id), points in none keep nulls. `side` is the cells' side, less than that of a usual polygon's box. A point
+    lies in one cell, so one join does: points in a cell that no edge comes near are settled by the cell, others by their ring.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = polygons.select("poly_id", "ring", *attrs).withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
-    box = _cover(box, F.col("_x0"), F.col("_x1"), F.col("_y0"), F.col("_y1"), side, ("_pi", "_pj"))
-    keyed = points.withColumns({"_i": _cell(F.col("x"), side), "_j": _cell(F.col("y"), side)})
-    inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
-    near = keyed.select(id_col, "x", "y", "_i", "_j").join(box, (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj")) & inside)
-    hits = near.where(strictly_within(F.col("x"), F.col("y"), F.col("ring"))).select(F.col(id_col).alias("_id"), "poly_id", *attrs)
+    ring = F.col("ring")
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    ends = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(F.least(a["x"], b["x"]).alias("x0"), F.greatest(a["x"], b["x"]).alias("x1"), F.least(a["y"], b["y"]).alias("y0"), F.greatest(a["y"], b["y"]).alias("y1")))
+    box = _cover(polygons.select("poly_id", "ring", *attrs), F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), side, ("_pi", "_pj"))
+    left, low = F.col("_pi") * F.lit(side), F.col("_pj") * F.lit(side)
+    met = F.exists(ends, lambda e: (e["x0"] <= left + side) & (e["x1"] >= left) & (e["y0"] <= low + side) & (e["y1"] >= low))
+    middle = strictly_within(left + side / 2, low + side / 2, ring)
+    box = box.withColumn("_met", met).where(F.col("_met") | middle).withColumn("_ring", F.when(F.col("_met"), ring)).drop("ring")
+    inside = ~F.col("_met") | strictly_within(F.col("x"), F.col("y"), F.col("_ring"))
     if ties == "first":
-        hits = hits.groupBy("_id").agg(F.min(F.struct("poly_id", *attrs)).alias("_hit")).select("_id", "_hit.*")
-    return points.join(hits, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        keyed = points.select(F.col(id_col).alias("_id"), "x", "y").withColumns({"_i": _cell(F.col("x"), side), "_j": _cell(F.col("y"), side)})
+        hits = keyed.join(box, (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj")) & inside)
+        best = hits.groupBy("_id").agg(F.min(F.struct("poly_id", *attrs)).alias("_hit")).select("_id", "_hit.*")
+        return points.join(best, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    keyed = points.withColumns({"_i": _cell(F.col("x"), side), "_j": _cell(F.col("y"), side)})
+    joined = keyed.join(box, (F.col("_i") == F.col("_pi")) & (F.col("_j") == F.col("_pj")) & inside, "left")
+    return joined.drop("_i", "_j", "_pi", "_pj", "_met", "_ring")
 
 
 def within_radius(points: DataFrame, segments: DataFrame, radius: float, attrs: list[str], id_col: str = "addr_id") -> DataFrame:

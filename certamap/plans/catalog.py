@@ -19,6 +19,7 @@ from certamap.operators import ranks as T
 from certamap.operators import regression as R
 from certamap.operators import segments as S
 from certamap.operators import spatial_joins as J
+from certamap.operators.lineage import cut
 from certamap.plans import fixtures as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +96,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored addresses with the cell they are in."""
-    return J.points_in_polygons(scored(spark, sf_dir), V.cells(spark, sf_dir), ["n_name", "n_regionkey", "uso"], 4000.0)
+    return J.points_in_polygons(scored(spark, sf_dir), V.cells(spark, sf_dir), ["n_name", "n_regionkey", "uso"], 1000.0)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +260,9 @@ def functional_match_rate(spark, sf_dir):
 tri AS (SELECT s.addr_id, r.r_regionkey AS poly_id FROM s JOIN region r ON s.y > 7790000 AND (s.y - 7790000) * 2000 < (s.x - (600000 + 4000 * r.r_regionkey)) * 25000 AND (s.y - 7790000) * 2000 < ((604000 + 4000 * r.r_regionkey) - s.x) * 25000)""")
 def enrich_chain(spark, sf_dir):
     a = V.addresses(spark, sf_dir).select("addr_id", "x", "y")
-    p = J.points_in_polygons(a, V.cells(spark, sf_dir), [], 4000.0).withColumn("in_cell", F.col("poly_id").isNotNull().cast("int")).drop("poly_id")
+    p = J.points_in_polygons(a, V.cells(spark, sf_dir), [], 1000.0).withColumn("in_cell", F.col("poly_id").isNotNull().cast("int")).drop("poly_id")
     p = J.nearest(p, V.roads(spark, sf_dir), 30.0, ["slope"]).drop("rid", "distance")
-    return J.points_in_polygons(p, V.triangles(spark, sf_dir), [], 4000.0).select("addr_id", "in_cell", "slope", F.col("poly_id").alias("tri"))
+    return J.points_in_polygons(p, V.triangles(spark, sf_dir), [], 1000.0).select("addr_id", "in_cell", "slope", F.col("poly_id").alias("tri"))
 
 
 _ENT = """hb AS (SELECT n_name, CASE WHEN gci >= 0.8 THEN 4 WHEN gci >= 0.6 THEN 3 WHEN gci >= 0.4 THEN 2 WHEN gci >= 0.2 THEN 1 ELSE 0 END AS b, count(*) AS n FROM pip WHERE n_name IS NOT NULL AND gci BETWEEN 0 AND 1 GROUP BY 1, 2),
@@ -373,10 +374,70 @@ lag AS (SELECT z.id, z.z, (SELECT sum(w.w * zj.z) FROM w JOIN z zj ON zj.id = w.
 tot AS (SELECT sum(z * z) AS s2, sum(sw) AS s0, count(*) AS n, sum(z * lag) AS top FROM lag)"""
 
 
-@query("SELECT n, round(s0, 6) AS s0, round(n / s0 * top / s2, 6) AS moran_i FROM tot", more=_Z)
+@query("SELECT n, round(s0, 6) AS s0, round(n / s0 * top / s2, 6) AS moran_i, (SELECT (least(count(*), 999 - count(*)) + 1) / 1000.0 FROM sm, tot WHERE round(s * tot.n / s0 / s2, 9) >= round(tot.n / s0 * top / s2, 9)) AS p_sim FROM tot", more=_Z + """,
+ra AS (SELECT r, id, z, row_number() OVER (PARTITION BY r ORDER BY md5('42:' || r || ':' || id), id) AS t, row_number() OVER (PARTITION BY r ORDER BY id) AS f FROM z, range(1, 1000) x(r)),
+va AS (SELECT a.r, a.id, b.z FROM ra a JOIN ra b ON a.r = b.r AND b.f = a.t),
+sm AS (SELECT a.r, sum(w.w * a.z * b.z) AS s FROM va a JOIN w ON w.i = a.id JOIN va b ON b.r = a.r AND b.id = w.j GROUP BY 1)""")
 def moran_global(spark, sf_dir):
-    u = units(spark, sf_dir).cache()
-    return rounded(A.moran_global(u, A.row_standardised(J.queen_edges(V.cells(spark, sf_dir))), "y", "id"))
+    return rounded(A.moran_global(cut(units(spark, sf_dir)), A.row_standardised(J.queen_edges(V.cells(spark, sf_dir))), "y", "id", A.PERMUTATIONS))
+
+
+def sectors(spark, sf_dir):
+    """Areas with ten addresses or more, with mean certainty, a missing one filled by the median of the others; and the row-standardised weights of those that touch."""
+    means = placed(spark, sf_dir).where("poly_id is not null").groupBy(F.col("poly_id").alias("id")).agg(F.avg("gci").alias("y"), F.count(F.lit(1)).alias("n"))
+    cells = V.cells(spark, sf_dir)
+    own = cut(cells.select("poly_id", "ring").join(means, F.col("poly_id") == F.col("id"), "left").where(F.coalesce("n", F.lit(0)) >= 10).drop("id"))
+    middle = own.agg(F.median("y")).first()[0]  # one value an area
+    own = own.withColumn("y", F.coalesce("y", F.lit(middle).cast("double")))
+    return own.select(F.col("poly_id").alias("id"), "y"), A.row_standardised(J.queen_edges(own))
+
+
+_SECTORS = """sect AS (SELECT c.poly_id AS id, coalesce(u.y, (SELECT median(y) FROM units WHERE n >= 10)) AS y FROM cells c LEFT JOIN units u ON u.id = c.poly_id WHERE coalesce(u.n, 0) >= 10),
+sq AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM queen WHERE i IN (SELECT id FROM sect) AND j IN (SELECT id FROM sect)),
+zs AS (SELECT id, y - (SELECT avg(y) FROM sect) AS z, y FROM sect)"""
+#: From src (id, v), wt (i, j, w: equal for a unit) and g (id, scale, own, k): how many of 999 conditional permutations are at least a unit's own.
+_PERMUTED = """pos AS (SELECT id, v, row_number() OVER (ORDER BY id) - 1 AS at FROM src),
+dr AS (SELECT r, idx, row_number() OVER (PARTITION BY r ORDER BY min(t)) AS s FROM (SELECT r, t, CAST('0x' || substr(md5('42:' || r || ':' || t), 1, 8) AS BIGINT) % ((SELECT count(*) FROM pos) - 1) AS idx FROM range(1, 1000) x(r), range(0, 200) y(t)) GROUP BY r, idx),
+sims AS (SELECT g.id, d.r, any_value(g.scale) * sum(p.v) / any_value(g.k) AS sim, any_value(g.scale * g.own) AS own FROM g JOIN pos o ON o.id = g.id JOIN dr d ON d.s <= g.k JOIN pos p ON p.at = CASE WHEN d.idx < o.at THEN d.idx ELSE d.idx + 1 END GROUP BY g.id, d.r),
+ps AS (SELECT id, (least(l, 999 - l) + 1) / 1000.0 AS p_sim FROM (SELECT id, count(*) FILTER (round(sim, 9) >= round(own, 9)) AS l FROM sims GROUP BY id))"""
+_LISA = f"""{_SECTORS}, src AS (SELECT id, z AS v FROM zs),
+g AS (SELECT a.id, any_value(a.z) AS scale, sum(w.w * b.z) AS own, count(*) AS k FROM zs a JOIN sq w ON w.i = a.id JOIN zs b ON b.id = w.j GROUP BY a.id), {_PERMUTED},
+ll AS (SELECT zs.id, CASE WHEN g.own IS NULL THEN NULL WHEN zs.z > 0 AND g.own > 0 THEN 1 WHEN zs.z <= 0 AND g.own > 0 THEN 2 WHEN zs.z <= 0 THEN 3 ELSE 4 END AS q, p_sim FROM zs LEFT JOIN g ON g.id = zs.id LEFT JOIN ps ON ps.id = zs.id),
+la AS (SELECT *, CASE WHEN p_sim < 0.05 THEN CASE q WHEN 1 THEN 'High-High' WHEN 2 THEN 'Low-High' WHEN 3 THEN 'Low-Low' WHEN 4 THEN 'High-Low' ELSE 'NS' END ELSE 'NS' END AS lisa_label FROM ll)"""
+
+
+@query("SELECT id, CAST(q AS INT) AS q, p_sim, lisa_label FROM la", more=_LISA)
+def lisa_labels(spark, sf_dir):
+    own, weights = sectors(spark, sf_dir)
+    return A.lisa(own, weights, "y", "id").select("id", "q", r6("p_sim"), "lisa_label")
+
+
+_NAMES = ["High-High", "Low-Low", "High-Low", "Low-High", "NS"]
+
+
+@query("SELECT label, count(la.id) AS n, round(100.0 * count(la.id) / (SELECT count(*) FROM la), 6) AS pct FROM (SELECT unnest(['High-High', 'Low-Low', 'High-Low', 'Low-High', 'NS']) AS label) LEFT JOIN la ON la.lisa_label = label GROUP BY 1", more=_LISA)
+def lisa_label_counts(spark, sf_dir):
+    own, weights = sectors(spark, sf_dir)
+    return rounded(A.label_counts(A.lisa(own, weights, "y", "id"), "lisa_label", _NAMES))
+
+
+_SPOTS = f"""{_SECTORS}, src AS (SELECT id, y AS v FROM sect),
+g AS (SELECT a.id, 1.0 AS scale, sum(w.w * b.y) AS own, count(*) AS k FROM sect a JOIN sq w ON w.i = a.id JOIN sect b ON b.id = w.j GROUP BY a.id), {_PERMUTED},
+kk AS (SELECT count(*) * 1.0 AS n, sum(y) AS t, sum(y * y) AS qq FROM sect),
+sp AS (SELECT s.id, (own - (t - y) / (n - 1)) / (sqrt((qq - y * y) / (n - 1) - (t - y) / (n - 1) * (t - y) / (n - 1)) * sqrt(((n - 1) / k - 1) / (n - 2))) AS z, p_sim FROM kk, sect s LEFT JOIN g ON g.id = s.id LEFT JOIN ps ON ps.id = s.id),
+sc AS (SELECT *, CASE WHEN z > 1.96 THEN 'hot' WHEN z < -1.96 THEN 'cold' ELSE 'none' END AS spot FROM sp)"""
+
+
+@query("SELECT id, round(z, 5) AS z, p_sim, spot FROM sc", more=_SPOTS)
+def gi_hot_cold(spark, sf_dir):
+    own, weights = sectors(spark, sf_dir)
+    return A.spots(own, weights, "y", "id").select("id", r6("z", places=5), r6("p_sim"), "spot")
+
+
+@query("SELECT label, count(sc.id) AS n FROM (SELECT unnest(['hot', 'cold', 'none']) AS label) LEFT JOIN sc ON sc.spot = label GROUP BY 1", more=_SPOTS)
+def gi_spot_counts(spark, sf_dir):
+    own, weights = sectors(spark, sf_dir)
+    return A.label_counts(A.spots(own, weights, "y", "id"), "spot", ["hot", "cold", "none"]).select("label", "n")
 
 
 @query("SELECT id, round((tot.n - 1) * z * lag / s2, 6) AS local_i, CAST(CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS INT) AS q FROM lag, tot", more=_Z)
@@ -398,25 +459,35 @@ def gi_star_z(spark, sf_dir):
     return rounded(A.getis_ord(units(spark, sf_dir), J.queen_edges(V.cells(spark, sf_dir)), "y", "id", star=True), 5)
 
 
-_LOW = """low AS (SELECT addr_id AS id, x, y FROM s WHERE gci < 0.3),
-near AS (SELECT a.id AS i, b.id AS j FROM low a JOIN low b ON b.x BETWEEN a.x - 400 AND a.x + 400 AND b.y BETWEEN a.y - 400 AND a.y + 400 AND a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 160000),
-core AS (SELECT i AS c FROM near GROUP BY 1 HAVING count(*) + 1 >= 11),
+_CLUSTERS = """low AS (SELECT addr_id AS id, x, y, gci FROM s WHERE gci < 0.3),
+near AS (SELECT a.id AS i, b.id AS j FROM low a JOIN low b ON b.x BETWEEN a.x - {e} AND a.x + {e} AND b.y BETWEEN a.y - {e} AND a.y + {e} AND a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {e} * {e}),
+core AS (SELECT i AS c FROM near GROUP BY 1 HAVING count(*) + 1 >= {m}),
 ce AS (SELECT i, j FROM near WHERE i IN (SELECT c FROM core) AND j IN (SELECT c FROM core)),
 reach(c, r) AS (SELECT c, c FROM core UNION SELECT ce.i, reach.r FROM reach JOIN ce ON ce.j = reach.c WHERE reach.r < ce.i),
 root AS (SELECT c, min(r) AS root FROM reach GROUP BY 1),
-bord AS (SELECT near.i, min(root.root) AS b FROM near JOIN root ON near.j = root.c GROUP BY 1)"""
+bord AS (SELECT near.i, min(root.root) AS b FROM near JOIN root ON near.j = root.c GROUP BY 1),
+lab AS (SELECT l.*, coalesce(r.root, b.b, -1) AS cluster, r.c IS NOT NULL AS core FROM low l LEFT JOIN root r ON l.id = r.c LEFT JOIN bord b ON b.i = l.id)"""
 
 
-@query(None)
+def _low(spark, sf_dir):
+    return scored(spark, sf_dir).where("gci < 0.3").select("addr_id", "x", "y", "gci")
+
+
+@query("SELECT l.id, coalesce(d.k, -1) AS cluster, core FROM lab l LEFT JOIN (SELECT cluster, dense_rank() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM lab WHERE cluster >= 0)) d ON d.cluster = l.cluster", more=_CLUSTERS.format(e=200, m=50))
 def dbscan_clusters(spark, sf_dir):
-    low = scored(spark, sf_dir).where("gci < 0.3").select("addr_id", "x", "y", "gci")
-    return K.dense_labels(K.dbscan(low, 200.0, 50))
+    return K.dense_labels(K.dbscan(_low(spark, sf_dir), 200.0, 50))
 
 
-@query("SELECT l.id, coalesce(r.root, b.b, -1) AS cluster, r.c IS NOT NULL AS core FROM low l LEFT JOIN root r ON l.id = r.c LEFT JOIN bord b ON b.i = l.id", more=_LOW)
+@query("SELECT id, cluster, core FROM lab", more=_CLUSTERS.format(e=400, m=11))
 def dbscan_sparse(spark, sf_dir):
-    low = scored(spark, sf_dir).where("gci < 0.3").select("addr_id", "x", "y")
-    return K.dbscan(low, 400.0, 11)
+    return K.dbscan(_low(spark, sf_dir), 400.0, 11)
+
+
+@query("SELECT cluster, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(gci), 6) AS mean FROM lab WHERE cluster >= 0 GROUP BY 1 ORDER BY 1 LIMIT 10", more=_CLUSTERS.format(e=400, m=11))
+def dbscan_summary(spark, sf_dir):
+    low = _low(spark, sf_dir)
+    got = K.cluster_summary(low, K.dbscan(low, 400.0, 11), "gci")
+    return got.select("cluster", "n", r6("x", places=4), r6("y", places=4), r6("mean"))
 
 
 @query("SELECT CAST(floor(sqrt(d2) / 250.0) AS INT) AS lag_bin, count(*) AS n, round(avg((ga - gb) * (ga - gb)) / 2, 6) AS gamma FROM pr WHERE d2 < 25000000 GROUP BY 1", more="""
@@ -550,16 +621,21 @@ def qq_quantiles(spark, sf_dir):
     return K.qq(V.addresses(spark, sf_dir), "match_distance")
 
 
-@query(None)
-def lisa_pvalues(spark, sf_dir):
-    return A.permuted_p(units(spark, sf_dir), A.row_standardised(J.queen_edges(V.cells(spark, sf_dir))), "y", "id")
+_KNN = f"""kp AS (SELECT a.rid AS id, any_value(a.x1) AS x, any_value(a.y1) AS y, avg(s.gci) AS v FROM act a JOIN s ON s.cep = lpad(CAST(a.rid AS VARCHAR), 8, '0') GROUP BY 1 HAVING avg(s.gci) IS NOT NULL),
+kn AS (SELECT i, j FROM (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r FROM kp a JOIN kp b ON a.id <> b.id) WHERE r <= 8),
+zs AS (SELECT id, v - (SELECT avg(v) FROM kp) AS z FROM kp), src AS (SELECT id, z AS v FROM zs),
+g AS (SELECT a.id, any_value(a.z) AS scale, sum(b.z) / count(*) AS own, count(*) AS k FROM zs a JOIN kn ON kn.i = a.id JOIN zs b ON b.id = kn.j GROUP BY a.id), {_PERMUTED}"""
 
 
-@query(None)
+@query("""SELECT id, round((n - 1) * scale * own / s2, 6) AS local_i, q, p_sim, CASE WHEN p_sim < 0.05 THEN CASE q WHEN 1 THEN 'High-High' WHEN 2 THEN 'Low-High' WHEN 3 THEN 'Low-Low' ELSE 'High-Low' END ELSE 'Not Significant' END AS lisa_cluster FROM
+ (SELECT g.id, scale, own, p_sim, CAST(CASE WHEN scale > 0 AND own > 0 THEN 1 WHEN scale <= 0 AND own > 0 THEN 2 WHEN scale <= 0 THEN 3 ELSE 4 END AS INT) AS q FROM g JOIN ps ON ps.id = g.id), (SELECT count(*) AS n, sum(z * z) AS s2 FROM zs)""", more=_KNN)
 def knn_lisa(spark, sf_dir):
-    pts = V.activity(spark, sf_dir).select(F.col("rid").alias("addr_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("rid") % 97).cast("double").alias("v"))
+    """Local Moran over the eight nearest of the places that have a mean certainty."""
+    means = scored(spark, sf_dir).where("cep is not null").groupBy(F.col("cep").cast("long").alias("_r")).agg(F.avg("gci").alias("v")).where("v is not null")
+    pts = cut(V.activity(spark, sf_dir).join(means, F.col("rid") == F.col("_r")).select(F.col("rid").alias("addr_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), "v"))
     near = J.k_nearest(pts, 8, (20000.0 * 25000.0 * 4 / max(1, pts.count())) ** 0.5)
-    return A.moran_local(pts, A.row_standardised(near.select("i", "j")), "v", "addr_id")
+    got = A.lisa(pts, cut(A.row_standardised(near.select("i", "j"))), "v", "addr_id", none="Not Significant")
+    return got.select("id", r6("local_i"), "q", r6("p_sim"), F.col("lisa_label").alias("lisa_cluster"))
 
 
 @query(None)
