@@ -15,19 +15,19 @@ from certamap.operators.spatial_joins import pairs_within
 
 def dbscan(points: DataFrame, eps: float, least: int, id_col: str = "addr_id") -> DataFrame:
     """(id, cluster, core): cluster is the smallest core id of the cluster, -1 for noise. A point counts among its neighbours; a border point goes to the smallest cluster that reaches it."""
-    near = cut(pairs_within(points, eps, id_col).select("i", "j"))
-    both = near.union(near.select("j", "i"))
-    degree = both.groupBy("i").agg((F.count(F.lit(1)) + 1).alias("n"))
-    core = cut(degree.where(F.col("n") >= least).select(F.col("i").alias("c")))
-    if least <= 1:
-        core = cut(points.select(F.col(id_col).alias("c")))
+    sites = cut(points.groupBy("x", "y").agg(F.min(id_col).alias("site"), F.count(F.lit(1)).alias("n")))  # equal points are one, however many
+    near = cut(pairs_within(sites, eps, "site", ("n",)).select("i", "j", "a_n", "b_n"))
+    both = near.select("i", "j", "b_n").union(near.select("j", "i", "a_n"))
+    around = both.groupBy("i").agg(F.sum("b_n").alias("m"))
+    core = cut(sites.join(around, F.col("site") == F.col("i"), "left").where(F.col("n") + F.coalesce("m", F.lit(0)) >= least).select(F.col("site").alias("c")))
     a, b = core.withColumnRenamed("c", "ca"), core.withColumnRenamed("c", "cb")
     links = near.join(a, F.col("i") == F.col("ca")).join(b, F.col("j") == F.col("cb")).select("i", "j")
-    root = core.join(components(links, "i", "j"), F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"))
-    root = cut(root)
+    root = cut(core.join(components(links, "i", "j"), F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root")))
     reached = both.join(root, F.col("j") == F.col("c")).groupBy("i").agg(F.min("root").alias("border"))
-    out = points.select(F.col(id_col).alias("id")).join(root, F.col("id") == F.col("c"), "left").join(reached, F.col("id") == F.col("i"), "left")
-    return out.select("id", F.coalesce("root", "border", F.lit(-1)).alias("cluster"), F.col("c").isNotNull().alias("core"))
+    named = sites.join(root, F.col("site") == F.col("c"), "left").join(reached, F.col("site") == F.col("i"), "left")
+    named = named.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.coalesce("root", "border", F.lit(-1)).alias("cluster"), F.col("c").isNotNull().alias("core"))
+    out = points.select(F.col(id_col).alias("id"), "x", "y").join(named, F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y")))
+    return out.select("id", "cluster", "core")
 
 
 def cluster_summary(points: DataFrame, clusters: DataFrame, value: str, id_col: str = "addr_id", top: int = 10) -> DataFrame:
@@ -63,7 +63,7 @@ def spherical_fit(variogram: DataFrame, lag: float) -> DataFrame:
     if not rows:
         return spark.createDataFrame([(None, None, None)], schema)
     top = max(h for h, *_ in rows)
-    err, reach = min((best(top * k / 200)[0], top * k / 200) for k in range(1, 241))
+    _, reach = min((round(best(top * k / 200)[0], 6), top * k / 200) for k in range(1, 241))  # of equally good ranges the shortest
     _, b, c = best(reach)
     return spark.createDataFrame([(reach, b + c, b)], schema)
 

@@ -5,7 +5,9 @@ Floating results are rounded alike on both sides, as sums differ in their order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +71,18 @@ hit AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY addr_id ORDER BY d2)
 _ACT = "(s.x - a.x1) * (s.x - a.x1) + (s.y - a.y1) * (s.y - a.y1)"
 
 
+def _normal_tail(z: str) -> str:
+    """SQL for the two-sided tail of the normal distribution, by Simpson's rule."""
+    h = f"(least({z}, 12.0) / 2000.0)"
+    return f"greatest(0.0, 1 - 2 * (SELECT sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-(k * {h}) * (k * {h}) / 2)) * {h} / 3 FROM range(0, 2001) q(k)) / sqrt(2 * pi()))"
+
+
+def _t_tail(t: str, v: str) -> str:
+    """SQL for the two-sided tail of Student's distribution, by Simpson's rule."""
+    h = f"(least({t}, 60.0) / 4000.0)"
+    return f"greatest(0.0, 1 - 2 * exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (k * {h}) * (k * {h}) / {v}, -({v} + 1) / 2.0)) * {h} / 3 FROM range(0, 4001) q(k)))"
+
+
 def query(sql: str | None = None, more: str = "") -> Callable:
     """Register a query under its function's name, with its SQL over the common expressions."""
 
@@ -281,6 +295,15 @@ def entropy_extremes(spark, sf_dir):
     return top.select(F.lit("top").alias("side"), "n_name", "entropy").union(low.select(F.lit("bottom"), "n_name", "entropy"))
 
 
+@query("""SELECT n_name, step, round(place, 6) AS place, round(sum(t * exp(-(place - v) * (place - v) / (2 * h * h))) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM vg JOIN vc USING (n_name) GROUP BY n_name, step, place""", more="""
+vz AS (SELECT n_name, count(*) AS n, min(gci) AS lo, max(gci) AS hi, stddev_samp(gci) * pow(count(*), -0.2) AS h FROM pip WHERE n_name IN (SELECT n_name FROM (SELECT n_name, count(*) AS c FROM pip WHERE n_name IS NOT NULL GROUP BY 1 ORDER BY c DESC, n_name LIMIT 10)) AND gci IS NOT NULL GROUP BY 1),
+vc AS (SELECT n_name, (floor(gci * 500) + 0.5) / 500 AS v, count(*) AS t FROM pip WHERE gci IS NOT NULL AND n_name IN (SELECT n_name FROM vz) GROUP BY 1, 2),
+vg AS (SELECT *, CAST(k AS INT) AS step, lo + (hi - lo) * k / 20.0 AS place FROM vz, range(0, 21) r(k) WHERE h > 0)""")
+def violin_density(spark, sf_dir):
+    p = placed(spark, sf_dir).where("n_name is not null").select("n_name", "gci")
+    return rounded(S.violin(p, "n_name", "gci"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) - count({f}) AS n_null, round(100.0 * count({f}) / count(*), 6) AS present_pct FROM s" for f in FIELDS))
 def nullity_profile(spark, sf_dir):
     return rounded(S.nullity(V.addresses(spark, sf_dir), FIELDS))
@@ -498,10 +521,17 @@ def semivariogram(spark, sf_dir):
     return rounded(K.semivariogram(smp, "gci", 250.0, 20))
 
 
-@query(None)
+@query("""SELECT round(reach, 6) AS range, round(b + c, 6) AS sill, round(b, 6) AS nugget FROM (SELECT reach, b, c, sum(n * (g - b - c * x) * (g - b - c * x)) AS err FROM fx JOIN co USING (reach) GROUP BY ALL) ORDER BY round(err, 6), reach LIMIT 1""", more="""
+smp AS (SELECT addr_id, x, y, gci FROM s WHERE gci IS NOT NULL ORDER BY md5(CAST(addr_id AS VARCHAR) || ':42'), addr_id LIMIT 3000),
+pr AS (SELECT a.gci AS ga, b.gci AS gb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM smp a JOIN smp b ON a.addr_id < b.addr_id),
+vb AS (SELECT floor(sqrt(d2) / 250.0) * 250.0 + 125.0 AS h, count(*) * 1.0 AS n, avg((ga - gb) * (ga - gb)) / 2 AS g FROM pr WHERE d2 < 25000000 GROUP BY 1),
+fx AS (SELECT reach, n, g, CASE WHEN h <= reach THEN 1.5 * h / reach - 0.5 * pow(h / reach, 3) ELSE 1.0 END AS x FROM vb, (SELECT (SELECT max(h) FROM vb) * k / 200 AS reach FROM range(1, 241) r(k))),
+su AS (SELECT reach, sum(n) AS sw, sum(n * x) AS sx, sum(n * g) AS sy, sum(n * x * x) AS sxx, sum(n * g * x) AS sxy FROM fx GROUP BY 1),
+cc AS (SELECT *, CASE WHEN sw * sxx - sx * sx > 1e-12 THEN greatest(0.0, (sw * sxy - sx * sy) / (sw * sxx - sx * sx)) ELSE 0.0 END AS c FROM su),
+co AS (SELECT reach, c, greatest(0.0, (sy - c * sx) / sw) AS b FROM cc)""")
 def variogram_fit(spark, sf_dir):
     smp = S.sample_n(scored(spark, sf_dir).where("gci is not null").select("addr_id", "x", "y", "gci"), 3000, 42, "addr_id")
-    return K.spherical_fit(K.semivariogram(smp, "gci", 250.0, 20), 250.0)
+    return rounded(K.spherical_fit(K.semivariogram(smp, "gci", 250.0, 20), 250.0))
 
 
 @query("SELECT count(*) AS n, round(2.0 * sum(i * gci) / (count(*) * sum(gci)) - (count(*) + 1.0) / count(*), 6) AS gini FROM (SELECT gci, row_number() OVER (ORDER BY gci) AS i FROM s WHERE gci IS NOT NULL)")
@@ -520,10 +550,10 @@ def maup_scales(spark, sf_dir):
     return rounded(K.maup(placed(spark, sf_dir), ["n_name", "n_regionkey", "segment"], "gci"))
 
 
-@query("SELECT n, round(atan2(ss, cc), 6) AS mean_direction, round(sqrt(cc * cc + ss * ss) / n, 6) AS r_bar, round((cc * cc + ss * ss) / n, 4) AS z FROM (SELECT count(*) AS n, sum((gy - y) / l) AS cc, sum((gx - x) / l) AS ss FROM (SELECT *, sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)) AS l FROM gold) WHERE l > 0)")
+@query("SELECT n, round(atan2(ss, cc), 6) AS mean_direction, round(sqrt(rr) / n, 6) AS r_bar, round(rr / n, 4) AS z, round(least(1.0, exp(sqrt(1 + 4 * n + 4 * (n * n - rr)) - (1 + 2 * n))), 6) AS p_value FROM (SELECT *, cc * cc + ss * ss AS rr FROM (SELECT count(*) * 1.0::DOUBLE AS n, sum((gy - y) / l) AS cc, sum((gx - x) / l) AS ss FROM (SELECT *, sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)) AS l FROM gold) WHERE l > 0))")
 def rayleigh_stat(spark, sf_dir):
     got = K.rayleigh(V.gold(V.addresses(spark, sf_dir)))
-    return got.select("n", r6("mean_direction"), r6("r_bar"), r6("z", places=4))
+    return got.select(F.col("n").cast("double").alias("n"), r6("mean_direction"), r6("r_bar"), r6("z", places=4), r6("p_value"))
 
 
 @query("SELECT addr_id, x, y, round(gx, 6) AS gx, round(gy, 6) AS gy, round(sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)), 6) AS len, round(atan2(gx - x, gy - y), 6) AS azimuth, round(gci, 6) AS metric FROM gold WHERE gx IS NOT NULL AND gy IS NOT NULL ORDER BY md5(CAST(addr_id AS VARCHAR) || ':42'), addr_id LIMIT 1000")
@@ -572,25 +602,32 @@ def density_surface(spark, sf_dir):
 # ------------------------------------------------------------------ tests and regressions
 
 
-@query("""SELECT round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p_value, CAST(k AS BIGINT) AS n_groups FROM (SELECT (12.0 / (n * (n + 1.0)) * sr - 3.0 * (n + 1)) / (1 - tt / (n * 1.0 * n * n - n)) AS h, k FROM
- (SELECT sum(g.n) AS n, sum(g.r * g.r / g.n) AS sr, count(*) AS k FROM (SELECT segment, count(*) AS n, sum(rk) AS r FROM kr GROUP BY 1) g), (SELECT sum(t * 1.0 * t * t - t) AS tt FROM (SELECT count(*) AS t FROM kr GROUP BY gci)))""", more="""
-kr AS (SELECT segment, gci, rank() OVER (ORDER BY gci) + (count(*) OVER (PARTITION BY gci) - 1) / 2.0 AS rk FROM s WHERE gci IS NOT NULL)""")
+_KRUSKAL = """kr AS (SELECT segment, gci, rank() OVER (ORDER BY gci) + (count(*) OVER (PARTITION BY gci) - 1) / 2.0 AS rk FROM s WHERE gci IS NOT NULL),
+kw AS (SELECT h, exp(-h / 2) * (1 + h / 2) AS p, k FROM (SELECT (12.0 / (n * (n + 1.0)) * sr - 3.0 * (n + 1)) / (1 - tt / (n * 1.0 * n * n - n)) AS h, k FROM
+ (SELECT sum(g.n) AS n, sum(g.r * g.r / g.n) AS sr, count(*) AS k FROM (SELECT segment, count(*) AS n, sum(rk) AS r FROM kr GROUP BY 1) g), (SELECT sum(t * 1.0 * t * t - t) AS tt FROM (SELECT count(*) AS t FROM kr GROUP BY gci))))"""
+_MANN = f"""mr AS (SELECT segment, match_distance, rank() OVER (ORDER BY match_distance) + (count(*) OVER (PARTITION BY match_distance) - 1) / 2.0 AS rk FROM s WHERE match_distance IS NOT NULL AND segment IN ('1-URGENT', '5-LOW')),
+mz AS (SELECT *, greatest(0.0, (greatest(u, na * nb - u) - na * nb / 2.0 - 0.5) / sd) AS z FROM
+ (SELECT ra - na * (na + 1) / 2.0 AS u, na, nb, ma, mb, sqrt(na * nb / 12.0 * ((na + nb + 1) - tt / ((na + nb) * (na + nb - 1.0)))) AS sd FROM (SELECT sum(rk) FILTER (segment = '1-URGENT') AS ra, count(*) FILTER (segment = '1-URGENT') AS na, count(*) FILTER (segment = '5-LOW') AS nb, avg(match_distance) FILTER (segment = '1-URGENT') AS ma, avg(match_distance) FILTER (segment = '5-LOW') AS mb FROM mr), (SELECT sum(t * 1.0 * t * t - t) AS tt FROM (SELECT count(*) AS t FROM mr GROUP BY match_distance)))),
+mw AS (SELECT *, {_normal_tail("z")} AS p FROM mz)"""
+_SPEARMAN = f"""sr AS (SELECT corr(ra, rb) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY gci) + (count(*) OVER (PARTITION BY gci) - 1) / 2.0 AS ra, rank() OVER (ORDER BY match_distance) + (count(*) OVER (PARTITION BY match_distance) - 1) / 2.0 AS rb FROM s WHERE gci IS NOT NULL AND match_distance IS NOT NULL)),
+st AS (SELECT *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2.0 AS v FROM sr),
+sp AS (SELECT *, {_t_tail("t", "v")} AS p FROM st)"""
+
+
+@query("SELECT round(h, 6) AS h, round(p, 6) AS p_value, CAST(k AS BIGINT) AS n_groups FROM kw", more=_KRUSKAL)
 def kruskal_h(spark, sf_dir):
     got = T.kruskal_wallis(scored(spark, sf_dir), "gci", "segment")
     return rounded(got.select("h", "p_value", "n_groups"))
 
 
-@query("""SELECT u, round(greatest(0.0, (greatest(u, na * nb - u) - na * nb / 2.0 - 0.5) / sd) / sqrt(na + nb), 6) AS effect_size_r, na AS n_a, nb AS n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b FROM
- (SELECT ra - na * (na + 1) / 2.0 AS u, na, nb, ma, mb, sqrt(na * nb / 12.0 * ((na + nb + 1) - tt / ((na + nb) * (na + nb - 1.0)))) AS sd FROM (SELECT sum(rk) FILTER (segment = '1-URGENT') AS ra, count(*) FILTER (segment = '1-URGENT') AS na, count(*) FILTER (segment = '5-LOW') AS nb, avg(match_distance) FILTER (segment = '1-URGENT') AS ma, avg(match_distance) FILTER (segment = '5-LOW') AS mb FROM mr), (SELECT sum(t * 1.0 * t * t - t) AS tt FROM (SELECT count(*) AS t FROM mr GROUP BY match_distance)))""", more="""
-mr AS (SELECT segment, match_distance, rank() OVER (ORDER BY match_distance) + (count(*) OVER (PARTITION BY match_distance) - 1) / 2.0 AS rk FROM s WHERE match_distance IS NOT NULL AND segment IN ('1-URGENT', '5-LOW'))""")
+@query("SELECT u, round(p, 6) AS p_value, round(z / sqrt(na + nb), 6) AS effect_size_r, na AS n_a, nb AS n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b FROM mw", more=_MANN)
 def mann_whitney_u(spark, sf_dir):
-    got = T.mann_whitney(scored(spark, sf_dir), "match_distance", "segment", "1-URGENT", "5-LOW")
-    return rounded(got.drop("p_value"))
+    return rounded(T.mann_whitney(scored(spark, sf_dir), "match_distance", "segment", "1-URGENT", "5-LOW"))
 
 
-@query("SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY gci) + (count(*) OVER (PARTITION BY gci) - 1) / 2.0 AS ra, rank() OVER (ORDER BY match_distance) + (count(*) OVER (PARTITION BY match_distance) - 1) / 2.0 AS rb FROM s WHERE gci IS NOT NULL AND match_distance IS NOT NULL)")
+@query("SELECT round(rho, 6) AS rho, round(p, 6) AS p_value, n FROM sp", more=_SPEARMAN)
 def spearman_rho(spark, sf_dir):
-    return rounded(T.spearman(scored(spark, sf_dir), "gci", "match_distance").select("rho", "n"))
+    return rounded(T.spearman(scored(spark, sf_dir), "gci", "match_distance"))
 
 
 _PC = ["completude", "lci", "mci", "pci", "gci", "match_distance"]
@@ -601,9 +638,14 @@ def pearson_matrix(spark, sf_dir):
     return rounded(R.pearson_matrix(scored(spark, sf_dir), _PC))
 
 
-@query("SELECT 'const' AS variable, round(regr_intercept(gci, match_distance), 6) AS coef FROM s UNION ALL SELECT 'match_distance', round(regr_slope(gci, match_distance), 6) FROM s")
+@query(f"SELECT variable, round(coef, 6) AS coef, round(e, 9) AS std_err, round({_t_tail('abs(coef / e)', 'v')}, 6) AS p_value, round(coef - q * e, 6) AS ci_low, round(coef + q * e, 6) AS ci_high FROM oq", more="""
+om AS (SELECT regr_count(gci, match_distance) * 1.0::DOUBLE AS n, regr_avgx(gci, match_distance) AS mx, regr_sxx(gci, match_distance) AS sxx, regr_syy(gci, match_distance) AS syy, regr_slope(gci, match_distance) AS b, regr_intercept(gci, match_distance) AS a FROM s),
+oe AS (SELECT *, n - 2 AS v, (syy - b * b * sxx) / (n - 2) AS s2, 1.959963984540054 AS z FROM om),
+oc AS (SELECT 'const' AS variable, a AS coef, sqrt(s2 * (1 / n + mx * mx / sxx)) AS e, v, z FROM oe UNION ALL SELECT 'match_distance', b, sqrt(s2 / sxx), v, z FROM oe),
+oq AS (SELECT *, z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * v * v * v) AS q FROM oc)""")
 def ols_coefficients(spark, sf_dir):
-    return rounded(R.ols(scored(spark, sf_dir), "gci", ["match_distance"])[0].select("variable", "coef"))
+    got = R.ols(scored(spark, sf_dir), "gci", ["match_distance"])[0]
+    return got.select("variable", r6("coef"), r6("std_err", places=9), r6("p_value"), r6("ci_low"), r6("ci_high"))
 
 
 @query("SELECT round(regr_slope(gci, textual_sim), 6) AS slope, round(regr_intercept(gci, textual_sim), 6) AS intercept, round(regr_r2(gci, textual_sim), 6) AS r2, regr_count(gci, textual_sim) AS n FROM s")
@@ -611,14 +653,19 @@ def regression_line(spark, sf_dir):
     return rounded(R.regression_line(scored(spark, sf_dir), "textual_sim", "gci"))
 
 
-@query(None)
+_STEPS = " + ".join(f"CASE WHEN u >= {math.exp(-1) * sum(1 / math.factorial(k) for k in range(m + 1))!r}::DOUBLE THEN 1 ELSE 0 END" for m in range(8))
+
+
+@query("SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM bm", more=f"""
+bu AS (SELECT rep, match_distance AS v, CAST('0x' || substr(md5(addr_id || ':' || rep), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0 AS u FROM s, range(1, 201) r(rep) WHERE match_distance IS NOT NULL),
+bm AS (SELECT rep, sum(w * v) / sum(w) AS m FROM (SELECT rep, v, {_STEPS} AS w FROM bu) GROUP BY 1)""")
 def bootstrap_ci(spark, sf_dir):
-    return K.bootstrap(V.addresses(spark, sf_dir), "match_distance", "addr_id")
+    return rounded(K.bootstrap(V.addresses(spark, sf_dir), "match_distance", "addr_id"))
 
 
-@query(None)
+@query("SELECT round(p, 6) AS p, round(x, 6) AS sample, round(m + sd * z, 6) AS normal FROM (SELECT unnest(ps) AS p, unnest(zs) AS z, unnest(xs) AS x, m, sd FROM (SELECT [" + ", ".join(f"{k / 20!r}" for k in range(1, 20)) + "] AS ps, [" + ", ".join(f"{NormalDist().inv_cdf(k / 20)!r}" for k in range(1, 20)) + "] AS zs, quantile_cont(match_distance, [" + ", ".join(f"{k / 20!r}" for k in range(1, 20)) + "]) AS xs, avg(match_distance) AS m, stddev_samp(match_distance) AS sd FROM s WHERE match_distance IS NOT NULL))")
 def qq_quantiles(spark, sf_dir):
-    return K.qq(V.addresses(spark, sf_dir), "match_distance")
+    return rounded(K.qq(V.addresses(spark, sf_dir), "match_distance"))
 
 
 _KNN = f"""kp AS (SELECT a.rid AS id, any_value(a.x1) AS x, any_value(a.y1) AS y, avg(s.gci) AS v FROM act a JOIN s ON s.cep = lpad(CAST(a.rid AS VARCHAR), 8, '0') GROUP BY 1 HAVING avg(s.gci) IS NOT NULL),
@@ -656,17 +703,44 @@ def sem_fit(spark, sf_dir):
 
 @query(None)
 def model_comparison(spark, sf_dir):
-    areas = _areas(spark, sf_dir).cache()
+    areas = cut(_areas(spark, sf_dir))
     sem = R.spatial_error(areas, J.queen_edges(V.cells(spark, sf_dir)), "gci", ["dist", "comp"], "id")[1]
     return R.compare_models(R.ols(areas, "gci", ["dist", "comp"])[1], sem)
 
 
+#: Columns that a row of the five-feature forest has to have, and the features.
+_COMPLETE = ["gci", "nv_geo_coord", "cod_especie", "cod_tipo_especi", "pci", "lci", "mci", "match_distance"]
+_FIVE = ["nv_geo_coord", "cod_especie", "is_vertical", "lci", "mci"]
+
+
+def _complete(spark, sf_dir):
+    return scored(spark, sf_dir).dropna(subset=_COMPLETE).withColumn("is_vertical", (F.col("cod_tipo_especi") == 103).cast("int"))
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN cod_tipo_especi = 103 THEN 1.0 ELSE 0.0 END), 6) AS vertical, round(avg(gci), 6) AS gci, round(avg(lci), 6) AS lci, round(avg(mci), 6) AS mci FROM s WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _COMPLETE))
+def rf_rows(spark, sf_dir):
+    """The rows that the five-feature forest is made of."""
+    rows = _complete(spark, sf_dir)
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("is_vertical").alias("vertical"), *[F.avg(c).alias(c) for c in ("gci", "lci", "mci")]))
+
+
 @query(None)
 def rf_importance(spark, sf_dir):
-    s = scored(spark, sf_dir).withColumn("is_vertical", F.coalesce((F.col("cod_tipo_especi") == 103).cast("int"), F.lit(0)))
-    names = ["nv_geo_coord", "cod_especie", "is_vertical", "lci", "mci"]
-    rows = X.prepared(s, "gci", names, "addr_id")
-    return X.importance(X.fit(rows, names), rows, names)
+    rows = X.prepared(_complete(spark, sf_dir), "gci", _FIVE, "addr_id")
+    return X.importance(X.fit(rows, _FIVE), rows, _FIVE)
+
+
+@query(None)
+def rf_permutation_importance(spark, sf_dir):
+    rows = X.prepared(_complete(spark, sf_dir), "gci", _FIVE, "addr_id")
+    return X.permutation_importance(X.fit(rows, _FIVE), rows, _FIVE)
+
+
+@query(None)
+def rf_shap_five(spark, sf_dir):
+    """Mean absolute Shapley values of the five features over the first 5,000 of the sampled rows, which is how the analysis takes them."""
+    rows = X.prepared(_complete(spark, sf_dir), "gci", _FIVE, "addr_id")
+    return X.shapley_summary(X.shapley(X.fit(rows, _FIVE), rows, _FIVE, most=5000), _FIVE)
 
 
 @query(None)
@@ -677,10 +751,11 @@ def rf_shap_summary(spark, sf_dir):
     return X.shapley_summary(X.shapley(X.fit(rows, names, trees=50, depth=30), rows, names), names)
 
 
-@query(None)
+@query("""SELECT hypothesis, test, round(statistic, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS supported FROM (SELECT 'certainty differs between segments' AS hypothesis, 'kruskal' AS test, h AS statistic, p FROM kw
+ UNION ALL SELECT 'error differs between first and last segment', 'mann_whitney', u, p FROM mw UNION ALL SELECT 'certainty falls with distance', 'spearman', rho, p FROM sp)""", more=f"{_KRUSKAL}, {_MANN}, {_SPEARMAN}")
 def hypotheses(spark, sf_dir):
     """One row a hypothesis: its test, statistic, p-value and verdict."""
-    s = scored(spark, sf_dir).cache()
+    s = cut(scored(spark, sf_dir).select("segment", "gci", "match_distance"))
     rows = []
     h = T.kruskal_wallis(s, "gci", "segment").first()
     rows.append(("certainty differs between segments", "kruskal", h["h"], h["p_value"]))
@@ -688,7 +763,7 @@ def hypotheses(spark, sf_dir):
     rows.append(("error differs between first and last segment", "mann_whitney", m["u"], m["p_value"]))
     r = T.spearman(s, "gci", "match_distance").first()
     rows.append(("certainty falls with distance", "spearman", r["rho"], r["p_value"]))
-    return spark.createDataFrame([(*x, x[3] is not None and x[3] < 0.05) for x in rows], "hypothesis string, test string, statistic double, p_value double, supported boolean")
+    return rounded(spark.createDataFrame([(*x, x[3] is not None and x[3] < 0.05) for x in rows], "hypothesis string, test string, statistic double, p_value double, supported boolean"))
 
 
 @query("SELECT addr_id, round(v, 6) AS v FROM (SELECT addr_id, coalesce(mci, (SELECT median(mci) FROM s)) AS v FROM s)")

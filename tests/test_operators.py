@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from certamap.functions import geometry as G
 from certamap.operators import autocorrelation as A
 from certamap.operators import clusters as K
 from certamap.operators import forest as X
@@ -138,12 +139,97 @@ def test_moran_and_permutations(spark):
     edges = spark.createDataFrame([(a, b) for a, _ in grid for b, _ in grid if a != b and abs(a // 5 - b // 5) <= 1 and abs(a % 5 - b % 5) <= 1], "i long, j long")
     w = A.row_standardised(edges)
     assert A.moran_global(df, w, "y", "id").first()["moran_i"] > 0.5
-    rows = A.permuted_p(df, w, "y", "id", permutations=199).collect()
-    assert all(0 < r["p_sim"] <= 1 for r in rows) and {r["lisa_label"] for r in rows} <= {"HH", "LH", "LL", "HL", "NS"}
-    again = A.permuted_p(df.repartition(3), w, "y", "id", permutations=199).collect()
+    rows = A.lisa(df, w, "y", "id", permutations=199).collect()
+    assert all(0 < r["p_sim"] <= 1 for r in rows) and {r["lisa_label"] for r in rows} <= {"High-High", "Low-High", "Low-Low", "High-Low", "NS"}
+    again = A.lisa(df.repartition(3), w, "y", "id", permutations=199).collect()
     assert {r["id"]: r["p_sim"] for r in rows} == {r["id"]: r["p_sim"] for r in again}
 
 
+def test_permutations_by_hand(spark):
+    """The local p-values from the drawn indexes, unit by unit; lone units and those without a value have none."""
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=40)
+    df = spark.createDataFrame([*((10 * i, float(v)) for i, v in enumerate(y)), (5000, None)], "id long, y double")
+    pairs = [(10 * i, 10 * j) for i in range(39) for j in range(39) if 0 < abs(i - j) <= 1 + i % 3] + [(10, 5000)]
+    w = A.row_standardised(spark.createDataFrame(pairs, "i long, j long"))
+    got = {r["id"]: r for r in A.lisa(df, w, "y", "id", none="Not Significant").collect()}
+    assert got[390]["p_sim"] is None and got[390]["lisa_label"] == "Not Significant" and 5000 not in got
+    z, most = y - y.mean(), max(sum(a == 10 * i and b < 5000 for a, b in pairs) for i in range(39))
+    drawn = A.draws(39, most)
+    assert drawn.shape == (999, most) and all(len(set(r)) == most for r in drawn.tolist()) and drawn.max() <= 38
+    weight = {(r["i"], r["j"]): r["w"] for r in w.collect()}
+    for i in range(39):
+        near = [b // 10 for a, b in sorted(pairs) if a == 10 * i and b < 5000]
+        ws = np.array([weight[10 * i, 10 * j] for j in near])
+        others = np.delete(z, i)
+        sims = z[i] * (others[drawn[:, : len(near)]] @ ws)
+        larger = int((np.round(sims, 9) >= round(z[i] * float(z[near] @ ws), 9)).sum())
+        assert got[10 * i]["p_sim"] == pytest.approx((min(larger, 999 - larger) + 1) / 1000)
+    spot = A.spots(df, w, "y", "id", permutations=99).collect()
+    assert {r["spot"] for r in spot} <= {"hot", "cold", "none"} and len(spot) == 40
+    assert [r["n"] for r in A.label_counts(spark.createDataFrame([("a",), ("a",)], "l string"), "l", ["a", "b"]).orderBy("label").collect()] == [2, 0]
+
+
+def test_points_in_odd_rings(spark):
+    """Concave rings, rings far larger and far smaller than the cells, points on lines, and polygons that overlap."""
+    rings = {1: [(0, 0), (90, 0), (90, 90), (45, 20), (0, 90)], 2: [(3, 3), (3.5, 3), (3.5, 3.5), (3, 3.5)], 3: [(-400, -400), (400, -380), (380, 400), (-390, 390)]}
+    polys = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]]) for k, r in rings.items()], "poly_id long, ring array<struct<x:double,y:double>>")
+    rng = np.random.default_rng(2)
+    pts = [(float(x), float(y)) for x, y in rng.uniform(-450, 450, (300, 2))] + [(float(x), float(y)) for x, y in rng.uniform(0, 90, (300, 2))] + [(0.0, 0.0), (45.0, 0.0), (3.2, 3.2), (45.0, 20.0), (-400.0, -400.0)]
+
+    def inside(x, y, ring):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return False
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                odd = not odd
+        return odd
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "addr_id long, x double, y double")
+    want = sorted((i, k) for i, p in enumerate(pts) for k in ([k for k, r in rings.items() if inside(*p, r)] or [0]))
+    for side in (7.0, 60.0, 2000.0):
+        got = J.points_in_polygons(df, polys, [], side).select("addr_id", F.coalesce("poly_id", F.lit(0))).collect()
+        assert sorted(map(tuple, got)) == want
+        first = J.points_in_polygons(df, polys, [], side, ties="first").select("addr_id", F.coalesce("poly_id", F.lit(0))).collect()
+        assert sorted(map(tuple, first)) == sorted({i: k for i, k in reversed(want)}.items())
+
+
+def test_dbscan_of_equal_points(spark):
+    rows = spark.range(20_000).selectExpr("id AS addr_id", "cast(5 AS double) AS x", "cast(5 AS double) AS y").union(spark.createDataFrame([(30_000, 9.0, 5.0), (30_001, 900.0, 5.0)], "a long, b double, c double"))
+    got = K.dbscan(rows, 10.0, 50).groupBy("cluster", "core").count().collect()
+    assert sorted(map(tuple, got)) == [(-1, False, 1), (0, True, 20_001)]
+    labels = K.dense_labels(spark.createDataFrame([(1, 70, True), (2, 9, True), (3, -1, False), (4, 70, False)], "id long, cluster long, core boolean"))
+    assert {r["id"]: r["cluster"] for r in labels.collect()} == {1: 1, 2: 0, 3: -1, 4: 1}
+
+
+def test_violin_is_a_density(spark):
+    rng = np.random.default_rng(6)
+    v = rng.uniform(0, 1, 400)
+    df = spark.createDataFrame([("a" if i % 4 else "b", float(x)) for i, x in enumerate(v)] + [("c", 0.5), (None, 0.1)], "k string, v double")
+    got = S.violin(df, "k", "v", top=2).toPandas()
+    own = v[[i for i in range(400) if i % 4]]
+    h = own.std(ddof=1) * len(own) ** -0.2
+    for r in got[got["k"] == "a"].itertuples():
+        assert r.density == pytest.approx(np.exp(-((r.place - own) ** 2) / (2 * h * h)).sum() / (len(own) * h * math.sqrt(2 * math.pi)), rel=0.01)
+    assert set(got["k"]) == {"a", "b"} and len(got) == 42
+
+
+def test_utm_on_the_meridian(spark):
+    """Northings on the central meridian are the scaled arc of the ellipse, by integration; eastings grow with it by the parallel's radius."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    for lat in (-19.9, -5.0, -33.25):
+        steps = np.linspace(0, math.radians(lat), 200_001)
+        arc = np.trapezoid(a * (1 - e2) / (1 - e2 * np.sin(steps) ** 2) ** 1.5, steps)
+        x, y = G.to_utm(F.lit(-45.0), F.lit(lat))
+        r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+        assert r["x"] == pytest.approx(500_000, abs=1e-4) and r["y"] == pytest.approx(10_000_000 + 0.9996 * arc, abs=1e-3)
+        x2, _ = G.to_utm(F.lit(-45.0 + 1e-4), F.lit(lat))
+        wide = a * math.cos(math.radians(lat)) / math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2) * math.radians(1e-4) * 0.9996
+        assert spark.range(1).select(x2).first()[0] - 500_000 == pytest.approx(wide, abs=1e-4)
+
+
 def test_ols_and_sem(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=60)
