@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certamap.llm.common import blocked_prefix, cut, table
+from certamap.llm.common import blocked_prefix, cut, table, word_count
 
 WEIGHTS, BUDGET, MOST_EPOCHS, SHARDS, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 8, 1024, 17
 
@@ -82,16 +82,11 @@ def splitting_tree(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.n
     return out
 
 
-def words(text: Column) -> Column:
-    """The number of words; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
 def measured(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
     """(row, id, source, size, place): the whole row, its words, and where it comes on its source's line; rows that differ in id or text have places of their own."""
     source = F.col(source_col).cast("string")
     place = F.xxhash64(F.lit(seed), F.col(id_col), source, F.col(text_col))
-    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), source.alias("source"), words(F.col(text_col)).alias("size"), place.alias("place"))
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), source.alias("source"), word_count(F.col(text_col)).alias("size"), place.alias("place"))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certamap.llm.common import blocked_prefix, cut, table
+from certamap.llm.common import blocked_prefix, cut, table, word_count
 
 SHARDS, SEED = 8, 29
 #: A cut between texts is taken if it misses its share of the node by at most this part of a shard's bytes.
@@ -36,8 +36,8 @@ def metadata(id_col: str, text_col: str) -> dict[str, Column]:
         "size": size,
         "crc": crc,
         "bytes": log(size),
-        "words": log(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))),
-        "lines": log(F.regexp_count(text, F.lit("\n"))),
+        "words": log(word_count(text)),
+        "lines": log(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))),
         "wide": 1 - F.char_length(text) / size,
         "tail": F.shiftleft(high(F.xxhash64(text), TEXT_BITS), ROW_BITS).bitwiseOR(own),
     }

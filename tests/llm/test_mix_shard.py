@@ -1,14 +1,17 @@
 """Mixing, sharding and the pipeline."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from certamap.llm import mix, shard
+from certamap.llm.common import word_count
 
 
 def test_targets_by_hand():
@@ -31,6 +34,12 @@ def test_splitting_tree_has_hypergeometric_means():
     assert shares == pytest.approx([75, 25], abs=1.5)
 
 
+def test_word_count(spark, texts):
+    odd = [*texts, " ", "a", " a", "a ", "\x0b a\tb\r\n", "é\u00a0b \x85", "x" * 50_000 + " y"]
+    rows = spark.createDataFrame([*enumerate(odd)], "i long, t string").select("i", word_count(F.col("t"))).collect()
+    assert dict(map(tuple, rows)) == {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for i, t in enumerate(odd)}
+
+
 def test_hypergeometric_draws():
     rng = np.random.default_rng(3)
     for good, bad, n in ((5, 7, 6), (1, 0, 1), (0, 9, 4), (30, 2, 31), (3, 400, 50)):
