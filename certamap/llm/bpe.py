@@ -128,22 +128,26 @@ def encode_native(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return joined.groupBy("row", "id").agg(F.flatten(put).alias("ids")).select("id", "ids")
 
 
+#: The rank of a pair that merges into nothing.
+_NONE = 1 << 62
+
+
 def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """The token ids of one word."""
     if word in ranks:
         return (ranks[word],)
     if len(word) >= LONG:
         return _fold_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    parts, look = [word[i : i + 1] for i in range(len(word))], ranks.get
+    open_ranks = [look(word[i : i + 2], _NONE) for i in range(len(word) - 1)]  # of every pair of neighbours
+    while open_ranks and (best := min(open_ranks)) != _NONE:
+        at = open_ranks.index(best)
+        parts[at] += parts.pop(at + 1)
+        open_ranks.pop(at)
+        if at < len(open_ranks):
+            open_ranks[at] = look(parts[at] + parts[at + 1], _NONE)
+        if at:
+            open_ranks[at - 1] = look(parts[at - 1] + parts[at], _NONE)
     return tuple(ranks[p] for p in parts)
 
 
