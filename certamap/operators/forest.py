@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 from math import factorial
@@ -15,7 +14,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certamap.operators.lineage import cut, shared_root
+from certamap.operators.lineage import cut, fresh_path
 from certamap.operators.segments import sample_n
 
 
@@ -54,7 +53,7 @@ def permutation_importance(model: RandomForestRegressionModel, rows: DataFrame,
 
 def _trees(model: RandomForestRegressionModel, spark) -> list[dict[str, np.ndarray]]:
     """The trees as arrays of feature, threshold, children, value and cover, read back from the saved model."""
-    path = f"{shared_root(spark)}/certamap-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
     if "nodeData" in nodes.columns:

@@ -35,10 +35,16 @@ def drop_written() -> None:
             return
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path under the shared root, deleted when the session ends."""
+    path = f"{shared_root(spark)}/certamap-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there and a lost executor loses nothing. The table stays until the session ends."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/certamap-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

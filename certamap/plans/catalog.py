@@ -21,8 +21,9 @@ from certamap.operators import ranks as T
 from certamap.operators import regression as R
 from certamap.operators import segments as S
 from certamap.operators import spatial_joins as J
-from certamap.operators.lineage import cut
+from certamap.operators.lineage import cut, fresh_path
 from certamap.plans import fixtures as V
+from certamap.sources import layers as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -778,3 +779,48 @@ def low_certainty_share(spark, sf_dir):
     p = placed(spark, sf_dir).where("n_name is not null").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gci") < 0.3).alias("low"))
     total = F.sum("low").over(Window.partitionBy(F.lit(0)))  # one row an area
     return p.select("n_name", "n", "low", r6(F.col("low") / total, "share"))
+
+
+# ------------------------------------------------------------------ readers and writers
+
+
+def _written(spark, df: DataFrame, form: str = "parquet") -> str:
+    """The path of `df` as a file in the shared folder, for readers to read."""
+    path = fresh_path(spark)
+    if form == "csv":
+        df.write.csv(path, header=True)
+    else:
+        L.write_stage(df, path)
+    return path
+
+
+@query("SELECT addr_id, x, y, match_distance FROM s")
+def geoparquet_points(spark, sf_dir):
+    """Points written as WKB and read back, all columns."""
+    a = V.addresses(spark, sf_dir).select("addr_id", L.point_wkb("x", "y").alias("geometry"), F.coalesce("match_distance", F.lit(float("nan"))).alias("match_distance"))
+    return L.read_points(spark, _written(spark, a)).select("addr_id", "x", "y", "match_distance")
+
+
+@query("SELECT addr_id, cep FROM s")
+def geoparquet_projection(spark, sf_dir):
+    """Two columns of such a file, the others unread."""
+    a = V.addresses(spark, sf_dir).withColumn("geometry", L.point_wkb("x", "y"))
+    return L.read_points(spark, _written(spark, a), ["addr_id", "cep"])
+
+
+@query("SELECT nv_geo_label, n FROM (SELECT nv_geo_label, count(*) AS n FROM s GROUP BY 1)")
+def csv_results(spark, sf_dir):
+    return L.read_results(spark, _written(spark, S.value_counts(scored(spark, sf_dir), "nv_geo_label"), "csv")).select("nv_geo_label", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT n_name, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def layer_views(spark, sf_dir):
+    """Layers of a catalogue by name."""
+    L.register(spark, {"layer_nation": f"{sf_dir}/nation.parquet", "layer_supplier": f"{sf_dir}/supplier.parquet"})
+    return spark.sql("SELECT n_name, count(*) AS n FROM layer_nation JOIN layer_supplier ON s_nationkey = n_nationkey GROUP BY 1")
+
+
+@query("SELECT addr_id, cod_especie FROM s WHERE CAST(cod_especie AS VARCHAR) = '3'")
+def one_city(spark, sf_dir):
+    """Raw rows of one code."""
+    return L.filter_city(V.addresses(spark, sf_dir), "cod_especie", "3").select("addr_id", "cod_especie")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,33 +21,56 @@ RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructFie
 MASTER_COLUMNS = ("geometry", "GCI", "MCI", "LCI", "PCI", "match_distance", "COD_SETOR", "COD_ESPECIE", "COD_TIPO_ESPECI", "NOME_REGIO", "COMPLETUDE", "NOME_BAIRR", "NV_GEO_COORD", "SITUACAO_P", "EXISTENCIA")
 
 
+def _coordinates(raw: np.ndarray, little: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of doubles, each row in its own byte order."""
+    out = raw.copy().view("<f8").astype(float)
+    out[~little] = raw[~little].copy().view(">f8")
+    return out
+
+
 def wkb_point(column: str):
     """struct<x, y> of a WKB point column; null for null, short or empty points."""
 
     @F.pandas_udf("struct<x:double,y:double>")
     def parse(s: pd.Series) -> pd.DataFrame:
         out = np.full((len(s), 2), np.nan)
-        for i, b in enumerate(s):
-            if b is not None and len(b) >= 21:
-                out[i] = np.frombuffer(b, "<f8" if b[0] == 1 else ">f8", 2, 5)
+        whole = np.fromiter((b is not None and len(b) >= 21 for b in s), bool, len(s))
+        raw = np.frombuffer(b"".join(b[:21] for b in s[whole]), np.uint8).reshape(-1, 21)
+        if len(raw):
+            out[whole] = _coordinates(raw[:, 5:], raw[:, 0] == 1)
         return pd.DataFrame(out, columns=["x", "y"]).astype(object).where(~np.isnan(out), None)
 
     return parse(F.col(column))
 
 
+def point_wkb(x: str, y: str):
+    """WKB points of two columns of doubles; null where either is."""
+
+    @F.pandas_udf("binary")
+    def pack(x: pd.Series, y: pd.Series) -> pd.Series:
+        rows = np.stack([x.to_numpy("<f8"), y.to_numpy("<f8")], axis=1).view(np.uint8).reshape(-1, 16)
+        none = x.isna() | y.isna()
+        return pd.Series([None if gone else b"\x01\x01\0\0\0" + row.tobytes() for row, gone in zip(rows, none, strict=True)])
+
+    return pack(F.col(x), F.col(y))
+
+
 def wkb_ring(column: str):
-    """Outer ring of a WKB polygon column."""
-
-    @F.udf(RING)
-    def parse(b):
-        if b is None or len(b) < 13:
-            return None
-        order = "<" if b[0] == 1 else ">"
-        kind, rings, n = struct.unpack_from(f"{order}III", b, 1)
-        if kind & 0xFF != 3 or not rings:
-            return None
-        v = np.frombuffer(b, f"{order}f8", 2 * n, 13).reshape(-1, 2)
-        return [(float(x), float(y)) for x, y in v]
+    """Outer ring of a WKB polygon column; null for what is no polygon. Coordinates are read a batch at a time."""
+
+    @F.arrow_udf(RING)
+    def parse(s: pa.Array) -> pa.Array:
+        sizes, bodies, gone = [], [], []
+        for b in s.to_pylist():
+            order = "<" if b and b[0] == 1 else ">"
+            kind, rings, n = struct.unpack_from(f"{order}III", b, 1) if b is not None and len(b) >= 13 else (0, 0, 0)
+            fits = kind & 0xFF == 3 and rings > 0 and len(b) >= 13 + 16 * n
+            gone.append(not fits)
+            sizes.append(n if fits else 0)
+            bodies.append(np.frombuffer(b, f"{order}f8", 2 * n, 13).astype(float) if fits else np.zeros(0))
+        v = np.concatenate(bodies) if bodies else np.zeros(0)
+        xy = pa.StructArray.from_arrays([pa.array(v[::2]), pa.array(v[1::2])], names=["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), xy, mask=pa.array(gone, pa.bool_()))
 
     return parse(F.col(column))
 
