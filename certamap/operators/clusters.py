@@ -147,9 +147,11 @@ def density_grid(points: DataFrame, side: float, bandwidth: float, id_col: str =
 def qq(df: DataFrame, value: str, points: int = 19) -> DataFrame:
     """(p, sample, normal): quantiles of a value beside those of a normal distribution of its mean and deviation."""
     from certamap.functions.distributions import normal_ppf
+    from certamap.operators.segments import quantiles
 
     ps = [k / (points + 1) for k in range(1, points + 1)]
-    q, m, s = df.where(F.col(value).isNotNull()).agg(F.percentile(value, F.array(*map(F.lit, ps))), F.avg(value), F.stddev_samp(value)).first()
+    m, s = df.agg(F.avg(value), F.stddev_samp(value)).first()
+    q = quantiles(df, None, {f"q{k}": (value, p) for k, p in enumerate(ps)}).first()
     rows = [(p, x, m + (s or 0.0) * normal_ppf(p)) for p, x in zip(ps, q or [], strict=bool(q))]
     return df.sparkSession.createDataFrame(rows, "p double, sample double, normal double")
 

@@ -8,14 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certamap.functions.dictionaries import CATEGORIES
+from certamap.operators.lineage import cut
+
+#: Distinct values of one range block of a running count.
+BLOCK = 50_000
 
 
 def rmse(d: Column) -> Column:
     return F.sqrt(F.avg(d * d))
 
 
-def ce90(d: Column) -> Column:
-    return F.percentile(d, F.lit(0.9))
+def quantiles(df: DataFrame, key: str | None, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(key, one column for each of `wanted`): interpolated quantiles {name: (column, probability)} within each non-null key, or of all rows in one row.
+
+    They are read off the running counts of distinct values, which go over range blocks whose totals are summed apart: no task holds the
+    values of a group. Nulls do not count; a group without values has none of its quantiles.
+    """
+    used = df.where(F.col(key).isNotNull()).withColumn("_k", F.col(key)) if key else df.withColumn("_k", F.lit(0))
+    columns = sorted({c for c, _ in wanted.values()})
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]))
+    counts = used.select("_k", each).where("_v is not null").groupBy("_k", "_c", "_v").agg(F.count(F.lit(1)).alias("_t"))
+    counts = cut(counts)
+    parts = counts.count() // BLOCK
+    counts = cut(counts.repartitionByRange(parts, "_k", "_c", "_v").withColumn("_p", F.spark_partition_id())) if parts > 1 else counts.withColumn("_p", F.lit(0))
+    totals = counts.groupBy("_k", "_c", "_p").agg(F.sum("_t").alias("_s"))  # a row for each block of a group
+    own = Window.partitionBy("_k", "_c")
+    before = F.coalesce(F.sum("_s").over(own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("_k", "_c", "_p", before.alias("_o"), F.sum("_s").over(own).alias("_n"))
+    inside = Window.partitionBy("_k", "_c", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("_i", F.sum("_t").over(inside)).join(offsets, ["_k", "_c", "_p"]).withColumn("_i", F.col("_i") + F.col("_o"))
+    out = []
+    for name, (c, p) in wanted.items():
+        place = F.lit(p) * (F.col("_n") - 1)
+        at = lambda k: F.max(F.when((F.col("_c") == c) & (k >= F.col("_i") - F.col("_t")) & (k < F.col("_i")), F.col("_v")))  # noqa: E731, B023
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(F.when(F.col("_c") == c, place - F.floor(place)))
+        out.append((low + part * (high - low)).alias(name))
+    got = run.groupBy("_k").agg(*out)
+    return got.withColumnRenamed("_k", key) if key else got.drop("_k")
 
 
 def mae(d: Column) -> Column:
@@ -34,17 +64,18 @@ def metrics_by_segment(df: DataFrame, segment: Column | str, distance: str = "ma
     aggs = [
         F.count(F.lit(1)).alias("n"),
         *(F.avg(col(c)).alias(f"{c}_mean") for c in ("lci", "mci", "pci", "gci")),
-        F.median(col("gci")).alias("gci_median"),
         F.stddev_samp(col("gci")).alias("gci_std"),
         rmse(d).alias("rmse"),
-        ce90(d).alias("ce90"),
         mae(d).alias("mae"),
         *([F.avg(d.isNotNull().cast("int")).alias("match_rate")] if match_rate else []),
     ]
-    groups = df.withColumn("segmento", key).groupBy("segmento").agg(*aggs)
+    keyed = df.withColumn("segmento", key)
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a segment
-    out = groups.withColumn("pct", F.try_divide(F.col("n") * 100.0, total.cast("double"))).where("segmento is not null")
-    return out.select("segmento", "n", "pct", *[c for c in out.columns if c not in ("segmento", "n", "pct")]).orderBy(F.desc("n"), "segmento")
+    groups = keyed.groupBy("segmento").agg(*aggs).withColumn("pct", F.try_divide(F.col("n") * 100.0, total.cast("double"))).where("segmento is not null")
+    middle = quantiles(keyed.select("segmento", col("gci").alias("_g"), d.alias("_d")), "segmento", {"gci_median": ("_g", 0.5), "ce90": ("_d", 0.9)})
+    out = groups.join(middle, "segmento", "left")
+    shares = ["match_rate"] if match_rate else []
+    return out.select("segmento", "n", "pct", "lci_mean", "mci_mean", "pci_mean", "gci_mean", "gci_median", "gci_std", "rmse", "ce90", "mae", *shares).orderBy(F.desc("n"), "segmento")
 
 
 def value_counts(df: DataFrame, key: str, top: int | None = None) -> DataFrame:
@@ -90,8 +121,7 @@ def nullity(df: DataFrame, fields: list[str]) -> DataFrame:
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles of a value by group, and the whiskers: the extremes within 1.5 interquartile ranges of the box."""
     df = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value)
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    q = q.select(F.col(key).alias("_k"), "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    q = quantiles(df, key, {"q1": (value, 0.25), "q2": (value, 0.5), "q3": (value, 0.75)}).join(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key).withColumnRenamed(key, "_k")
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q, F.col(key) == F.col("_k")).where(F.col(value).between(low, high))
     return inside.groupBy(key, "n", "q1", "q2", "q3").agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))

@@ -205,7 +205,10 @@ def segment_metrics_tipo(spark, sf_dir):
 @query("SELECT round(sqrt(avg(match_distance * match_distance)), 6) AS rmse, round(quantile_cont(match_distance, 0.9), 6) AS ce90, round(avg(abs(match_distance)), 6) AS mae, round(median(match_distance), 6) AS median_error FROM s")
 def error_summary(spark, sf_dir):
     d = F.col("match_distance")
-    return rounded(V.addresses(spark, sf_dir).agg(S.rmse(d).alias("rmse"), S.ce90(d).alias("ce90"), S.mae(d).alias("mae"), F.median(d).alias("median_error")))
+    a = V.addresses(spark, sf_dir)
+    places = S.quantiles(a, None, {"ce90": ("match_distance", 0.9), "median_error": ("match_distance", 0.5)}).first()
+    means = a.agg(S.rmse(d).alias("rmse"), S.mae(d).alias("mae"))
+    return rounded(means.select("rmse", F.lit(places["ce90"]).alias("ce90"), "mae", F.lit(places["median_error"]).alias("median_error")))
 
 
 @query("SELECT c.n_name, round(m.completude, 9) AS completude, round(m.lci, 9) AS lci FROM cells c LEFT JOIN (SELECT n_name, avg(completude) AS completude, avg(lci) AS lci FROM pip WHERE n_name IS NOT NULL GROUP BY 1) m USING (n_name)")
@@ -217,7 +220,8 @@ def area_means(spark, sf_dir):
 @query("SELECT n_name, round(avg(gci), 6) AS mean, round(median(gci), 6) AS median, round(stddev_samp(gci), 6) AS std, count(gci) AS n FROM pip WHERE n_name IS NOT NULL GROUP BY 1")
 def zone_stats(spark, sf_dir):
     p = placed(spark, sf_dir).where("n_name is not null")
-    return rounded(p.groupBy("n_name").agg(F.avg("gci").alias("mean"), F.median("gci").alias("median"), F.stddev_samp("gci").alias("std"), F.count("gci").alias("n")))
+    means = p.groupBy("n_name").agg(F.avg("gci").alias("mean"), F.stddev_samp("gci").alias("std"), F.count("gci").alias("n"))
+    return rounded(means.join(S.quantiles(p, "n_name", {"median": ("gci", 0.5)}), "n_name", "left").select("n_name", "mean", "median", "std", "n"))
 
 
 @query("SELECT n_name, round(avg(gci), 6) AS mean, count(*) AS n FROM pip WHERE n_name IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 ORDER BY n DESC, n_name LIMIT 20")
@@ -770,7 +774,7 @@ def hypotheses(spark, sf_dir):
 @query("SELECT addr_id, round(v, 6) AS v FROM (SELECT addr_id, coalesce(mci, (SELECT median(mci) FROM s)) AS v FROM s)")
 def median_filled(spark, sf_dir):
     s = scored(spark, sf_dir)
-    mid = s.agg(F.median("mci")).first()[0]
+    mid = S.quantiles(s, None, {"mid": ("mci", 0.5)}).first()[0]
     return s.select("addr_id", r6(F.coalesce("mci", F.lit(mid)), "v"))
 
 

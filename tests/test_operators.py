@@ -22,8 +22,24 @@ from certamap.streaming import scoring
 
 def test_error_measures(spark):
     d = F.col("d")
-    row = spark.createDataFrame([(3.0,), (4.0,), (None,)], "d double").agg(S.rmse(d), S.mae(d), F.median(d), S.ce90(d)).first()
-    assert list(row) == pytest.approx([math.sqrt(12.5), 3.5, 3.5, 3.9])
+    row = spark.createDataFrame([(3.0,), (4.0,), (None,)], "d double").agg(S.rmse(d), S.mae(d)).first()
+    assert list(row) == pytest.approx([math.sqrt(12.5), 3.5])
+
+
+@pytest.mark.parametrize("block", [50_000, 40])
+def test_quantiles_against_numpy(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else "cold", float(round(v, 1 + i % 3)), float(i % 7) if i % 5 else None) for i, v in enumerate(rng.normal(size=900))] + [(None, 9.0, 9.0), ("none", None, None), ("one", 4.0, None)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    got = {r["k"]: r for r in S.quantiles(df, "k", {"m": ("a", 0.5), "h": ("a", 0.9), "b": ("b", 0.25)}).collect()}
+    for k in ("hot", "cold"):
+        a, b = np.array([r[1] for r in rows if r[0] == k]), np.array([r[2] for r in rows if r[0] == k and r[2] is not None])
+        assert list(got[k][1:]) == pytest.approx([np.quantile(a, 0.5), np.quantile(a, 0.9), np.quantile(b, 0.25)])
+    assert tuple(got["one"]) == ("one", 4.0, 4.0, None) and set(got) == {"hot", "cold", "one"}
+    everything = S.quantiles(df, None, {"m": ("a", 0.5)}).first()[0]
+    assert everything == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], 0.5))
+    assert S.quantiles(df.limit(0), None, {"m": ("a", 0.5)}).count() == 0
 
 
 def test_metrics_by_segment_without_scores(spark):
