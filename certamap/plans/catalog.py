@@ -371,15 +371,34 @@ def road_class_errors(spark, sf_dir):
     return rounded(j.groupBy("road_class").agg(F.count(F.lit(1)).alias("n"), F.avg("match_distance").alias("mean")))
 
 
-@query("SELECT addr_id, rid, round(mci, 6) AS mci FROM (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY round(mci, 9) DESC, rid) AS r FROM cand) WHERE r = 1", more=f"""
-cand AS (SELECT s.addr_id, a.rid, 0.5 * least(greatest(CAST((s.addr_id * 7 + a.rid * 13) % 101 AS DOUBLE) / 100.0, 0.0), 1.0) + 0.5 * greatest(0.0, 1 - sqrt({_ACT}) / 100.0) AS mci
- FROM s JOIN act a ON a.x1 BETWEEN s.x - 100 AND s.x + 100 AND a.y1 BETWEEN s.y - 100 AND s.y + 100 WHERE {_ACT} <= 10000 AND (s.addr_id * 7 + a.rid * 13) % 101 >= 80)""")
+#: Made-up street names of addresses, by id % 5, and of places, by id % 4.
+STREETS = ("RUA DAS FLORES 10", "AV BRASIL NORTE", "RUA SETE DE MAIO", "TRAVESSA DO SOL", None)
+PLACES = ("10 FLORES DAS RUA", "AVENIDA BRASIL NORTE", "RUA SETE DE MAIO SN", "BECO DO SOL")
+
+
+def _name(id_col: str, names: tuple[str | None, ...]) -> str:
+    return f"CASE {id_col} % {len(names)} " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names) if n) + " END"
+
+
+@query("SELECT addr_id, rid, round(sim, 6) AS sim, round(mci, 6) AS mci FROM (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY round(mci, 9) DESC, rid) AS r FROM best) WHERE r = 1", more=f"""
+cand AS (SELECT s.addr_id, a.rid, sqrt({_ACT}) AS d, {_name('s.addr_id', STREETS)} AS ta, {_name('a.rid', PLACES)} AS tb FROM s JOIN act a ON a.x1 BETWEEN s.x - 100 AND s.x + 100 AND a.y1 BETWEEN s.y - 100 AND s.y + 100 WHERE {_ACT} <= 10000),
+tx AS (SELECT ta, tb, array_to_string(list_sort(string_split(lower(ta), ' ')), ' ') AS a, array_to_string(list_sort(string_split(lower(tb), ' ')), ' ') AS b FROM (SELECT DISTINCT ta, tb FROM cand WHERE ta IS NOT NULL)),
+dq(ta, tb, a, b, i, prow) AS (
+  SELECT ta, tb, a, b, 0, list_transform(range(0, length(b) + 1), lambda k: 0) FROM tx
+  UNION ALL
+  SELECT ta, tb, a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [CASE WHEN a[i + 1] = b[j] THEN prow[j] + 1 ELSE -1 END, prow[j + 1]]),
+    lambda acc, v: list_append(acc, CASE WHEN v[1] >= 0 THEN v[1] ELSE greatest(v[2], acc[len(acc)]) END), [0]) FROM dq WHERE i < length(a)),
+sm AS (SELECT ta, tb, 200.0 * prow[len(prow)] / (length(a) + length(b)) AS sim FROM dq WHERE i = length(a)),
+best AS (SELECT addr_id, rid, sim, 0.5 * sim / 100.0 + 0.5 * greatest(0.0, 1 - d / 100.0) AS mci FROM cand JOIN sm USING (ta, tb) WHERE sim >= 80)""")
 def radius_best_match(spark, sf_dir):
+    """The best place within 100 m whose name is alike, by distance and similarity of names."""
     met = J.within_radius(V.addresses(spark, sf_dir), V.activity(spark, sf_dir), 100.0, [])
-    sim = ((F.col("addr_id") * 7 + F.col("rid") * 13) % 101).cast("double")
-    met = met.withColumn("sim", sim).where("sim >= 80").withColumn("mci", C.mci(F.sqrt("dist2"), F.col("sim")))
-    best = met.groupBy("addr_id").agg(F.min(F.struct((-F.round("mci", 9)).alias("k"), "rid", "mci")).alias("b"))
-    return best.select("addr_id", "b.rid", r6(F.col("b.mci"), "mci"))
+    met = met.withColumns({"ta": F.expr(_name("addr_id", STREETS)), "tb": F.expr(_name("rid", PLACES))})
+    names = cut(met.where("ta is not null").select("ta", "tb").distinct())  # else the comparison is pushed below it, to every candidate
+    alike = names.withColumn("sim", C.text_similarity(F.col("ta"), F.col("tb"))).where("sim >= 80")
+    met = met.join(alike, ["ta", "tb"]).withColumn("mci", C.mci(F.sqrt("dist2"), F.col("sim")))
+    best = met.groupBy("addr_id").agg(F.min(F.struct((-F.round("mci", 9)).alias("k"), "rid", "sim", "mci")).alias("b"))
+    return best.select("addr_id", "b.rid", r6(F.col("b.sim"), "sim"), r6(F.col("b.mci"), "mci"))
 
 
 @query("SELECT i, j, rank, round(dist, 6) AS dist FROM (SELECT a.rid AS i, b.rid AS j, sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS dist, CAST(row_number() OVER (PARTITION BY a.rid ORDER BY (a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1), b.rid) AS INT) AS rank FROM act a JOIN act b ON a.rid <> b.rid) WHERE rank <= 8")
