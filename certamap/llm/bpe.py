@@ -272,5 +272,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    """(doc_id, source, n_tokens, ids_sha256, decoded_sha256) of every document. Null and empty texts have no tokens, null ids and sources are carried, repeated rows stay repeated, an empty table gives an empty result; other columns are ignored."""
     return round_trip(docs.select(F.struct("doc_id", "source").alias("key"), "text"), id_col="key").select("id.*", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -118,7 +118,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", net: Net | None = None) -> DataFrame:
-    """`docs` with the secrets of the text replaced; other columns and null texts pass through."""
+    """`docs` with the secrets of the text replaced; null and empty texts and other columns, whatever their names, pass through, repeated rows are treated alike, an empty table stays empty."""
     net = net or trained()
     at = docs.columns.index(text_col)
 
@@ -145,6 +145,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with its secrets replaced and `n_chars` counted anew where they were."""
+    """Every document stays, with its secrets replaced and `n_chars` counted anew where the table has it.
+
+    Null texts stay null and keep their `n_chars`, empty ones stay empty; repeated rows are treated alike, an empty table stays empty, and other columns pass through, whatever their names.
+    """
     out = redact(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -140,7 +140,7 @@ def _postings(fps: DataFrame, list_block: int) -> DataFrame:
 
 
 def links(fps: DataFrame, most_bits: int = MOST_BITS, list_block: int = LIST_BLOCK) -> DataFrame:
-    """(a, b): links that join every two of the distinct `fp` values that are connected at `most_bits` differing bits (3 at most)."""
+    """(a, b): links that join every two of the distinct `fp` values that are connected at `most_bits` differing bits (3 at most). No value is null; without values, or with one, there are no links."""
     blocks = steiner_blocks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id; of rows that repeat id and text, one."""
+    """One document of each near-duplicate group stays: the one with the smallest id; of rows that repeat id and text, one.
+
+    Documents without words are one group, null texts among them; of a group without any id one row for each text stays. An empty table stays empty; columns may have any names.
+    """
     key, none, text = fresh(docs, "_id"), fresh(docs, "_none"), fresh(docs, "_text")
     at = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias(key), F.col(c).isNull().alias(none))
     named = cut(near_duplicates(docs).where("id <=> component_id").select(*at("id")).distinct())

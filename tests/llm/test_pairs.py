@@ -154,6 +154,14 @@ def test_vectors_against_brute_force(spark, monkeypatch, rows, shard_rows, split
     assert len(got) == len(data)
 
 
+def test_vectors_with_odd_columns(spark):
+    v = make_vectors(120, 40, 7)
+    rows = [(i if i != 11 else None, x.tolist(), 1, b"u", 2, "home", [3]) for i, x in enumerate(v)] + [(None, None, 1, b"u", 2, "home", [3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, pid int, unit binary, copies int, home string, shards array<int>")
+    got = sorted(map(str, vectors.near_duplicates(df).collect()))
+    assert got == sorted(map(str, vectors.near_duplicates(df.select("vec_id", "embedding")).collect())) and len(got) == 121
+
+
 def test_vectors_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
