@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 #: A lexicon entry: least log-odds, G statistic and number of its toxic documents; shortest and longest stem.
 LOG_ODDS, LEAST_G, LEAST_ROWS, LEAST_STEM, LONGEST_STEM = 1.5, 20.0, 8, 4, 12
 #: Weights of a match of a word, and of a stem, with typing errors, and of one that is quoted.
-TYPO, TYPO_STEM, QUOTED = 0.5, 0.25, 0.3
+TYPO, TYPO_STEM, QUOTED = 0.5, 0.1, 0.3
 WINDOW = 4
 #: Distinct words that a task keeps the verdict on.
 KNOWN = 400_000
