@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,9 @@ def drop_written() -> None:
     """Delete what `cut` has written, once nothing reads it any more; nothing is lost where the session has gone already."""
     while _written:
         spark, path = _written.pop()
-        if spark.sparkContext._jsc is None:
+        if spark.sparkContext._jsc is None:  # the session was stopped; what lies in a plain folder can still go
+            if path.startswith(("file:", "/")):
+                shutil.rmtree(re.sub("^file:/+", "/", path), ignore_errors=True)
             continue
         try:
             _remove(spark, path)
