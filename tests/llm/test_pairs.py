@@ -154,6 +154,23 @@ def test_vectors_against_brute_force(spark, monkeypatch, rows, shard_rows, split
     assert len(got) == len(data)
 
 
+def test_split_of_some_shards_only(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 60), ("SPLIT_ROWS", 150), ("FAN", 4)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(5)
+    centre = np.eye(16)[rng.choice(4, 700, p=[0.6, 0.2, 0.1, 0.1])]  # homes of very different sizes
+    v = 3 * centre + rng.normal(size=(700, 16))
+    v[600:] = v[:100] + rng.normal(scale=0.03, size=(100, 16))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    points = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "pid long, unit binary")
+    placed = {r["pid"]: r["shards"] for r in vectors.assigned(points, 16, 700).collect()}
+    assert sorted(placed) == list(range(700)) and all(x and len(set(x)) == len(x) for x in placed.values())
+    homes = Counter(x[0] for x in placed.values())
+    assert max(homes.values()) <= 150 and min(homes) < 4 <= max(homes)  # some were split, some were not
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert vectors.audit(df, vectors.near_duplicates(df), every=1) >= 0.9
+
+
 def test_vectors_with_odd_columns(spark):
     v = make_vectors(120, 40, 7)
     rows = [(i if i != 11 else None, x.tolist(), 1, b"u", 2, "home", [3]) for i, x in enumerate(v)] + [(None, None, 1, b"u", 2, "home", [3])]
