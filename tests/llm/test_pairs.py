@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import xxhash
 
 from certamap.llm import simhash, vectors
 from certamap.operators.components import components
+from certamap.operators.lineage import cut, drop
 
 
 def plain_fingerprint(text):
@@ -162,7 +164,7 @@ def test_split_of_some_shards_only(spark, monkeypatch):
     v = 3 * centre + rng.normal(size=(700, 16))
     v[600:] = v[:100] + rng.normal(scale=0.03, size=(100, 16))
     v /= np.sqrt((v * v).sum(axis=1))[:, None]
-    points = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "pid long, unit binary")
+    points = spark.createDataFrame([(i, x.tobytes(), 1) for i, x in enumerate(v)], "pid long, unit binary, copies long")
     placed = {r["pid"]: r["shards"] for r in vectors.assigned(points, 16, 700).collect()}
     assert sorted(placed) == list(range(700)) and all(x and len(set(x)) == len(x) for x in placed.values())
     homes = Counter(x[0] for x in placed.values())
@@ -171,6 +173,23 @@ def test_split_of_some_shards_only(spark, monkeypatch):
     assert vectors.audit(df, vectors.near_duplicates(df), every=1) >= 0.9
 
 
+def test_drop_deletes_one_table_only(spark):
+    one, two = cut(spark.range(5)), cut(spark.range(7))
+    path = Path(two.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists()
+    drop(two)
+    assert not path.exists() and one.count() == 5
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_packed_vectors_keep_their_precision(spark, kind):
+    rows = [(0, [0.1, -0.0, 3.0]), (1, [0.2, 0.0, 6.0]), (2, [1e-30, 1e-30, 0.0]), (3, [0.0] * 3), (4, None)]
+    got = {r["id"]: r["unit"] for r in vectors.normalised(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+    assert got[0] == got[1] and got[3] is None and got[4] is None and len(got[0]) == 3 * {"float": 4, "double": 8}[kind]
+    v = np.array(rows[0][1], np.float32 if kind == "float" else np.float64).astype(float)
+    assert np.allclose(vectors._matrix([got[0], got[2]], 3), [v / np.sqrt((v * v).sum()), [0.5**0.5, 0.5**0.5, 0]], rtol=1e-15)
+
+
 def test_vectors_with_odd_columns(spark):
     v = make_vectors(120, 40, 7)
     rows = [(i if i != 11 else None, x.tolist(), 1, b"u", 2, "home", [3]) for i, x in enumerate(v)] + [(None, None, 1, b"u", 2, "home", [3])]
